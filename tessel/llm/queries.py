@@ -1,4 +1,8 @@
-"""The package's registered queries and, where SQL can express them, the same results in DuckDB's SQL."""
+"""The package's registered queries.
+
+None has an SQL twin: library tokens, fitted models, cover trees and reachability over near copies are beyond SQL at the
+size of whole tables; tests hold them against the libraries and brute force instead.
+"""
 
 from __future__ import annotations
 
@@ -7,15 +11,27 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tessel.llm.bpe_codec import op7_bpe_codec
+from tessel.llm.count_rtree import op10_count_rtree
+from tessel.llm.cover_tree import op4_cover_tree
+from tessel.llm.html_blocks import op3_html_blocks
+from tessel.llm.lattice_lm import op2_lattice_lm
 from tessel.llm.packing import op8_packing
+from tessel.llm.quality_cnn import op6_quality_cnn
+from tessel.llm.quality_rules import op5_quality_rules
 from tessel.llm.token_counts import op9_token_counts
 from tessel.llm.token_files import op1_token_orc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_orc": op1_token_orc,
+    "op2_lattice_lm": op2_lattice_lm,
+    "op3_html_blocks": op3_html_blocks,
+    "op4_cover_tree": op4_cover_tree,
+    "op5_quality_rules": op5_quality_rules,
+    "op6_quality_cnn": op6_quality_cnn,
     "op7_bpe_codec": op7_bpe_codec,
     "op8_packing": op8_packing,
     "op9_token_counts": op9_token_counts,
+    "op10_count_rtree": op10_count_rtree,
 }
 
 ORACLE_SQL: dict[str, str] = {}
