@@ -6,11 +6,16 @@ import functools
 import json
 import os
 import re
+from array import array
 
 import numpy as np
+import regex
 
 #: Entries of a worker's cache of encoded pieces; it is emptied when full, which changes the cost only.
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 600_000
+
+#: Fixed value: the split that the library's ByteLevel pre-tokenizer has built in.
+BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 _WIDE = re.compile(r"\s[ \n]")
 _HARD = re.compile(r"(?<=\S)(?=[ \n])")
@@ -55,14 +60,22 @@ class PieceEncoder:
         else:
             self.mode = "whole"
         self.model, self.pre, self.norm = self.tokenizer.model, self.tokenizer.pre_tokenizer, self.tokenizer.normalizer
+        # Printable ASCII is its own byte-level form (but for the blank), and lower case is all that a normalizer does to
+        # it; so its pre-tokens can be had without the library's alignment of characters.
+        self.lowers = "Lowercase" in [n["type"] for n in (norm or {}).get("normalizers", [])]
+        self.scan = regex.compile(pre["pretokenizers"][0]["pattern"]["Regex"] if self.mode == "drop" else BYTE_LEVEL_PATTERN).findall
+        self.tokens = _Cache(lambda piece: array("I", [t.id for t in self.model.tokenize(piece)]).tobytes())
         self.first = _Cache(self._piece)
         self.rest = _Cache(lambda p: self._piece(p if p[:1] == "\n" else " " + p))
 
     def _piece(self, text: str) -> bytes:
-        if self.norm is not None:
-            text = self.norm.normalize_str(text)
-        ids = [t.id for piece, _ in self.pre.pre_tokenize_str(text) for t in self.model.tokenize(piece)]
-        return np.array(ids, dtype="<u4").tobytes()
+        if text.isascii() and text.isprintable():
+            pieces = self.scan(text.lower() if self.lowers else text)
+            if self.mode == "keep":
+                pieces = [p.replace(" ", "\u0120") for p in pieces]
+        else:
+            pieces = [p for p, _ in self.pre.pre_tokenize_str(self.norm.normalize_str(text) if self.norm is not None else text)]
+        return b"".join(map(self.tokens.__getitem__, pieces))
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -70,7 +83,7 @@ class PieceEncoder:
     def encode(self, text: str) -> bytes:
         if self.mode == "whole" or any(s in text for s in self.special):
             return self.whole(text)
-        for cache in (self.first, self.rest):
+        for cache in (self.first, self.rest, self.tokens):
             if len(cache) > CACHE_ENTRIES:
                 cache.clear()
         if self.mode == "drop":
