@@ -13,8 +13,9 @@ from pyspark.sql import Window
 from tessel.llm.common import components, small_batches, stage, table
 from tessel.llm.lattice_lm import split_words
 
-#: Coordinates of the points that bound an overlap, and of the table of group frequencies.
-GROUPS, COARSE = 128, 1 << 16
+#: Coordinates of the points that bound an overlap: FINE ones for documents of LARGE shingles or more, as the bound grows
+#: blunt when a group holds many; they fold into GROUPS. COARSE is the size of the table of group frequencies.
+GROUPS, FINE, LARGE, COARSE = 128, 1024, 1000, 1 << 16
 #: Points of one leaf, and points of a cell that one task compares at once.
 LEAF, CELL = 32, 1024
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
@@ -67,8 +68,20 @@ def order(hashes: np.ndarray, rank: np.ndarray) -> np.ndarray:
 
 
 def point(hashes: np.ndarray) -> np.ndarray:
-    """How many of the shingles fall into each group; counts beyond 16 bits make the bound useless, never wrong."""
-    return np.minimum(np.bincount(((hashes >> np.uint64(20)) % np.uint64(GROUPS)).astype(np.int64), minlength=GROUPS), 65535).astype("<u2")
+    """How many of the shingles fall into each group; counts beyond 16 bits make a bound useless, never wrong."""
+    many = FINE if len(hashes) >= LARGE else GROUPS
+    return np.minimum(np.bincount(((hashes >> np.uint64(20)) % np.uint64(many)).astype(np.int64), minlength=many), 65535).astype("<u2")
+
+
+def folded(points: list[bytes]) -> np.ndarray:
+    """Points as rows of GROUPS counts; a full 16-bit count stays full."""
+    out = np.zeros((len(points), GROUPS), np.int64)
+    for k, p in enumerate(points):
+        x = np.frombuffer(p, "<u2")
+        out[k] = x if len(x) == GROUPS else x.reshape(-1, GROUPS).sum(0, dtype=np.int64)
+        if (x == 65535).any():
+            out[k] = np.iinfo(np.int32).max
+    return out
 
 
 def bounded(lows: tuple[np.ndarray, np.ndarray], highs: tuple[np.ndarray, np.ndarray], percent: int) -> np.ndarray:
@@ -80,8 +93,7 @@ def bounded(lows: tuple[np.ndarray, np.ndarray], highs: tuple[np.ndarray, np.nda
     most = np.zeros(need.shape, np.int64)
     for g in range(GROUPS):
         most += np.minimum(highs[0][:, g, None], highs[1][None, :, g])
-    full = (highs[0].max(1, initial=0) == 65535)[:, None] & (highs[1].max(1, initial=0) == 65535)[None, :]
-    return (most >= need) | full
+    return most >= need
 
 
 def tree_pairs(n: np.ndarray, x: np.ndarray, comp: np.ndarray, own: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -164,10 +176,15 @@ def bound_pairs(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            p, q = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(-1, GROUPS) for c in ("point_a", "point_b"))
-            most = np.minimum(p, q).sum(1, dtype=np.int64)
+            left, right = batch.column("point_a").to_pylist(), batch.column("point_b").to_pylist()
+            most = np.minimum(folded(left), folded(right)).sum(1)
+            for k, (p, q) in enumerate(zip(left, right, strict=True)):
+                if len(p) == len(q) == 2 * FINE:
+                    x, y = np.frombuffer(p, "<u2"), np.frombuffer(q, "<u2")
+                    if x.max() < 65535 and y.max() < 65535:
+                        most[k] = np.minimum(x, y).sum(dtype=np.int64)
             need = -(-percent * (batch.column("n_a").to_numpy().astype(np.int64) + batch.column("n_b").to_numpy()) // (100 + percent))
-            ok = (most >= need) | ((p.max(1, initial=0) == 65535) & (q.max(1, initial=0) == 65535))
+            ok = most >= need
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(ok))
 
     side = lambda s: points.select(F.col("node").alias(s), F.col("point").alias(f"point_{s}"))
@@ -231,7 +248,7 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFr
     head = F.min(F.struct("node", "n")).over(cell)
     shared = stage(entries.withColumn("head", head).withColumn("many", F.count("*").over(cell)).where("many > 1").select("cell", "node", "n", F.col("head.node").alias("leader"), F.col("head.n").alias("leader_n")), "cells")
 
-    points = chosen.select(F.col("doc_id").alias("node"), "point")
+    points = stage(chosen.select(F.col("doc_id").alias("node"), "point"), "points")
     stars = shared.where((F.col("node") != F.col("leader")) & ratio_ok(F.col("n"), F.col("leader_n"), percent)).select("node", "n", "leader", "leader_n").distinct()
     near = stage(bound_pairs(stars.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("leader").alias("b"), F.col("leader_n").alias("n_b")), points, percent), "near")
     texts = rows.where("text is not null")
@@ -258,13 +275,15 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFr
     def compare(rows):
         import pandas as pd
 
-        x = np.frombuffer(b"".join(rows["point"]), "<u2").reshape(-1, GROUPS)
+        x = folded(list(rows["point"]))
         node = rows["node"].to_numpy(np.int64)
-        a, b = tree_pairs(rows["n"].to_numpy(np.int64), x, rows["comp"].to_numpy(np.int64), rows["own"].to_numpy(bool), percent)
-        return pd.DataFrame({"a": np.maximum(node[a], node[b]), "b": np.minimum(node[a], node[b])})
+        n = rows["n"].to_numpy(np.int64)
+        a, b = tree_pairs(n, x, rows["comp"].to_numpy(np.int64), rows["own"].to_numpy(bool), percent)
+        a, b = np.where(node[a] > node[b], a, b), np.where(node[a] > node[b], b, a)
+        return pd.DataFrame({"a": node[a], "n_a": n[a], "b": node[b], "n_b": n[b]})
 
-    pairs = split.groupBy("cell", "band", "p", "q").applyInPandas(compare, "a long, b long")
-    pairs = pairs.union(bound_pairs(direct.distinct(), points, percent)).distinct()
+    pairs = split.groupBy("cell", "band", "p", "q").applyInPandas(compare, "a long, n_a int, b long, n_b int")
+    pairs = bound_pairs(pairs.union(direct).distinct(), points, percent).distinct()
     more = stage(pairs.join(near, ["a", "b"], "left_anti"), "pairs")
     second = first.limit(0) if more.isEmpty() else stage(verified(more, texts, k, percent), "links")
     copies = sets.join(reps.where("m > 1").select("sign", F.col("rep")), "sign").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))

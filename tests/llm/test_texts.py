@@ -296,7 +296,7 @@ def test_tree_keeps_all_links():
         own[: rng.integers(0, 6)] = rng.integers(0, 2**63, 1).astype(np.uint64)
         sets.append(np.unique(own))
     n = np.array([len(s) for s in sets])
-    x = np.array([count_rtree.point(s) for s in sets])
+    x = count_rtree.folded([count_rtree.point(s).tobytes() for s in sets])
     a, b = count_rtree.tree_pairs(n, x, np.arange(200), np.ones(200, bool), 85)
     found = {(min(p), max(p)) for p in zip(a.tolist(), b.tolist(), strict=True)}
     want = {(i, j) for i, j in combinations(range(200), 2) if 100 * len(np.intersect1d(sets[i], sets[j])) >= 85 * len(np.union1d(sets[i], sets[j]))}
