@@ -16,6 +16,11 @@ def estimated_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
+def _keyed(df: DataFrame, key: str, config: RadixConfig) -> DataFrame:
+    """df with its partition ids, without null keys: they match nothing, and ids that can't be null need no check."""
+    return with_pid(df.where(F.col(key).isNotNull()), config, key)
+
+
 def _output(joined: DataFrame, build: DataFrame, probe: DataFrame, key: str) -> DataFrame:
     """Key, all build payloads, all probe payloads; their names must differ."""
     return joined.select(key, *[c for c in build.columns if c != key], *[c for c in probe.columns if c != key])
@@ -37,8 +42,8 @@ def radix_join(build: DataFrame, probe: DataFrame, key: str = "key", config: Rad
     As partition id and key are the join keys, the placement serves the join and no further exchange is planned.
     """
     config = config or RadixConfig()
-    left = with_pid(build, config, key).repartitionById(config.partitions, "pid")
-    right = with_pid(probe, config, key).repartitionById(config.partitions, "pid")
+    left = _keyed(build, key, config).repartitionById(config.partitions, "pid")
+    right = _keyed(probe, key, config).repartitionById(config.partitions, "pid")
     return _output(right.join(left.hint("shuffle_hash"), [key, "pid"]), build, probe, key)
 
 
@@ -49,7 +54,7 @@ def flush_plan(probe: DataFrame, key: str, config: RadixConfig, probe_row_bytes:
     """
     if budget_bytes < 1:
         raise ValueError("the budget must be positive")
-    counts = with_pid(probe, config, key).groupBy("pid").agg(F.count("*").alias("n"))
+    counts = _keyed(probe, key, config).groupBy("pid").agg(F.count("*").alias("n"))
     return counts.select("pid", F.greatest(F.lit(1), F.ceil(F.col("n") * probe_row_bytes / budget_bytes)).cast("int").alias("flushes"))
 
 
@@ -63,9 +68,9 @@ def best_effort_join(
     """
     config = config or RadixConfig()
     plan = F.broadcast(flush_plan(probe, key, config, probe_row_bytes, budget_bytes))
-    dealt = with_pid(probe, config, key).join(plan, "pid")
+    dealt = _keyed(probe, key, config).join(plan, "pid")
     dealt = dealt.withColumn("flush", F.pmod(F.xxhash64(*probe.columns, F.monotonically_increasing_id()), F.col("flushes")).cast("int"))
-    spread = with_pid(build, config, key).join(plan, "pid")
+    spread = _keyed(build, key, config).join(plan, "pid")
     spread = spread.withColumn("flush", F.explode(F.sequence(F.lit(0), F.col("flushes") - 1)))
     keys = [key, "pid", "flush"]
     return _output(dealt.join(spread.hint("shuffle_hash"), keys), build, probe, key)

@@ -45,9 +45,14 @@ def _with_key(df: DataFrame, number: str, seed: int) -> DataFrame:
     return with_hash(df, "_salted", "key").drop("_salted")
 
 
+def _numbers(rows: DataFrame) -> DataFrame:
+    """Row numbers, which are never null: a join on what is computed from them then tests no key for null."""
+    return rows.select(F.coalesce(F.col("i").cast("long"), F.lit(0).cast("long")).alias("i"))
+
+
 def build_table(rows: DataFrame, kinds: list[str], seed: int = 42) -> DataFrame:
     """One build row (key, b0, b1, ...) for each row number in column i of rows; distinct numbers give distinct keys."""
-    df = _with_payloads(_with_key(rows.select("i"), "i", seed), kinds, "b", seed, BUILD_PAYLOAD_SALT)
+    df = _with_payloads(_with_key(_numbers(rows), "i", seed), kinds, "b", seed, BUILD_PAYLOAD_SALT)
     return df.select("key", *[f"b{c}" for c in range(len(kinds))])
 
 
@@ -61,7 +66,7 @@ def probe_table(rows: DataFrame, build_rows: int, kinds: list[str], seed: int =
         zero = {"u128": F.struct(F.lit(0).cast("long").alias("low"), F.lit(0).cast("long").alias("high"))}
         cells = [zero.get(k, F.lit(0).cast(SPARK_TYPE[k])).alias(n) for k, n in zip(kinds, names, strict=True)]
         return rows.select(F.lit(0).cast("long").alias("key"), *cells)
-    df = rows.select("i")
+    df = _numbers(rows)
     with wrapping(df.sparkSession):
         df = df.withColumn("_pick", F.lit(signed(seed ^ PROBE_PICK_SALT)) + F.col("i"))
     df = with_hash(df, "_pick", "_pick")
