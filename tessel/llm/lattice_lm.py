@@ -144,6 +144,18 @@ class Lattice:
         return total
 
 
+def gathered(batches: Iterator[pa.RecordBatch], rows: int = 16_384) -> Iterator[pa.Table]:
+    """Record batches put together to tables of about so many rows: the lattice walks many words of a length at once."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= rows:
+            yield pa.Table.from_batches(held)
+            held = []
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def by_length(words: list[str]) -> Iterator[np.ndarray]:
     lengths = np.array([len(w) for w in words], np.int64)
     order = np.argsort(lengths, kind="stable")
@@ -199,7 +211,7 @@ def learn_pieces(words: DataFrame, tokens: int, vocabulary: str, rounds: int) ->
 
         def run(batches: Iterator[pa.RecordBatch], log_p=log_p, whole=whole) -> Iterator[pa.RecordBatch]:
             own, total = lattice(vocabulary), None
-            for batch in batches:
+            for batch in gathered(batches):
                 got = own.expected(batch.column("word").to_pylist(), batch.column("c").to_numpy().astype(float), log_p, whole, tokens)
                 total = got if total is None else total + got
             if total is not None:
@@ -245,12 +257,12 @@ def score(docs: DataFrame, vocabulary: str, rounds: int = ROUNDS, frequent: int
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = lattice(vocabulary)
-        for batch in batches:
+        for batch in gathered(batches):
             c = batch.column("c").to_numpy()
             pieced = own.marginals(batch.column("word").to_pylist(), log_p) + own.ends(log_p) + math.log1p(-whole)
             with np.errstate(divide="ignore"):
                 lm = np.logaddexp(pieced, np.log(whole * c / max(1, total))) / math.log(10)
-            yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(np.log10(c + 0.5)), pa.array(lm), pa.array(c > 0), batch.column("n")], ["word", "base", "lm", "known", "n"])
+            yield from pa.table([batch.column("word"), pa.array(np.log10(c + 0.5)), pa.array(lm), pa.array(c > 0), batch.column("n")], ["word", "base", "lm", "known", "n"]).to_batches()
 
     scored = stage(counts.mapInArrow(weigh, "word string, base double, lm double, known boolean, n long"), "scores")
     top = {r["word"].encode(): (r["base"], r["lm"], r["known"]) for r in scored.orderBy(F.desc("n"), "word").limit(frequent).collect()}
