@@ -17,7 +17,13 @@ from tessel.llm.common import small_batches, stage, table
 #: Expectation-maximisation rounds over all training words; the vocabulary's own scores weight the first.
 #: WHOLE is the first guess of the share of words that their own arc explains.
 WHOLE = 0.9
-ROUNDS = 3
+ROUNDS = 2
+#: The languages with the most training documents have a model each; all other documents share one more.
+LANGUAGES = 7
+#: Share of a whole-word arc that its own language's counts give; the rest comes from the counts of all languages.
+OWN = 0.997
+#: So many occurrences, dealt as in all languages together, join a language's expected counts of pieces.
+PRIOR = 100.0
 #: So many words, the most frequent ones, are looked up where the texts are; all others by a join.
 FREQUENT = 40_000
 #: A task's word counts are handed on when there are so many.
@@ -100,9 +106,9 @@ class Lattice:
                     break
         return n, out
 
-    def forward(self, words: list[str], log_p: np.ndarray) -> tuple[np.ndarray, list, list[np.ndarray]]:
-        """log of the summed probability of all segmentations up to each character."""
-        n, arcs = self.arcs(words)
+    def forward(self, words: list[str], log_p: np.ndarray, found: tuple[int, list] | None = None) -> tuple[np.ndarray, list, list[np.ndarray]]:
+        """log of the summed probability of all segmentations up to each character; found holds the words' arcs if known."""
+        n, arcs = found or self.arcs(words)
         alpha = np.full((len(words), n + 1), -np.inf)
         alpha[:, 0] = 0
         costs = []
@@ -122,6 +128,16 @@ class Lattice:
             out[where] = self.forward([words[k] for k in where], log_p)[0][:, -1]
         return out
 
+    def marginals_of_each(self, words: list[str], log_ps: list[np.ndarray]) -> np.ndarray:
+        """marginals() under several models, a row for each; the words' arcs are looked up once."""
+        out = np.zeros((len(log_ps), len(words)))
+        for where in by_length(words):
+            some = [words[k] for k in where]
+            found = self.arcs(some)
+            for z, log_p in enumerate(log_ps):
+                out[z, where] = self.forward(some, log_p, found)[0][:, -1]
+        return out
+
     def expected(self, words: list[str], counts: np.ndarray, log_p: np.ndarray, whole: float, tokens: int) -> np.ndarray:
         """How often each piece is expected in all segmentations of the words, and last the occurrences so explained.
 
@@ -170,139 +186,179 @@ def lattice(path: str) -> Lattice:
 
 def with_fold(docs: DataFrame) -> DataFrame:
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1
-    return docs.select(F.col("doc_id").cast("long"), F.coalesce(fold, F.lit(False)).alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
+    lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
+    return docs.select(F.col("doc_id").cast("long"), F.coalesce(fold, F.lit(False)).alias("held_out"), F.coalesce("text", F.lit("")).alias("text"), lang.alias("lang"))
+
+
+def with_kind(rows: DataFrame, languages: int) -> tuple[DataFrame, list[int]]:
+    """rows with the number of the model that each training document teaches (-1: held out), and each model's documents.
+
+    A few numbers come to the driver: one for each of the languages with the most training documents, and their rest.
+    """
+    taught = rows.where("not held_out")
+    top = [r["lang"] for r in taught.where("lang is not null").groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()]
+    kind = F.lit(len(top))
+    for z, name in enumerate(top):
+        kind = F.when(F.col("lang").eqNullSafe(name), z).otherwise(kind)
+    counts = dict(taught.groupBy(kind.alias("kind")).count().collect())
+    sizes = [counts[z] for z in sorted(counts)]  # the rest, if it has documents, comes last
+    return rows.withColumn("kind", F.when(F.col("held_out"), -1).otherwise(kind)).drop("lang"), sizes
 
 
-def word_counts(rows: DataFrame) -> DataFrame:
-    """Rows (word, c, n): occurrences in training texts and in all; each task adds up its own before the shuffle."""
+def word_counts(rows: DataFrame, kinds: int) -> DataFrame:
+    """Rows (word, c0, c1, ..., n): occurrences in training texts by model and in all texts; each task adds up its own before the shuffle."""
+    names = [*(f"c{z}" for z in range(kinds)), "n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        train: Counter = Counter()
-        other: Counter = Counter()
+        counters: list[Counter] = [Counter() for _ in range(kinds + 1)]  # the last one: held-out texts
 
         def flush() -> pa.RecordBatch:
-            words = list(train.keys() | other.keys())
-            c = [train[w] for w in words]
-            n = [x + other[w] for x, w in zip(c, words, strict=True)]
-            train.clear()
-            other.clear()
-            return pa.RecordBatch.from_arrays([pa.array([w.decode() for w in words], pa.string()), pa.array(c, pa.int64()), pa.array(n, pa.int64())], ["word", "c", "n"])
+            words = list(set().union(*counters))
+            by = np.array([[counter[w] for w in words] for counter in counters], np.int64)
+            by[-1] = by.sum(0)
+            for counter in counters:
+                counter.clear()
+            return pa.RecordBatch.from_arrays([pa.array([w.decode() for w in words], pa.string()), *map(pa.array, by)], ["word", *names])
 
         for batch in batches:
-            for held, text in zip(batch.column("held_out").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                (other if held else train).update(split_words(text))
-            if len(train) + len(other) >= HELD_WORDS:
+            for kind, text in zip(batch.column("kind").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                counters[kind].update(split_words(text))
+            if sum(map(len, counters)) >= HELD_WORDS:
                 yield flush()
-        if train or other:
+        if any(counters):
             yield flush()
 
-    return rows.mapInArrow(run, "word string, c long, n long").groupBy("word").agg(F.sum("c").alias("c"), F.sum("n").alias("n"))
+    schema = "word string, " + ", ".join(f"{c} long" for c in names)
+    return rows.select("kind", "text").mapInArrow(run, schema).groupBy("word").agg(*(F.sum(c).alias(c) for c in names))
 
 
-def learn_pieces(words: DataFrame, tokens: int, vocabulary: str, rounds: int) -> tuple[np.ndarray, float]:
-    """Natural log probabilities of all pieces, and the share of whole-word arcs, from expected counts over all training words.
+def learn_pieces(words: DataFrame, tokens: list[int], documents: list[int], vocabulary: str, rounds: int) -> tuple[list[np.ndarray], list[float]]:
+    """By model: natural log probabilities of all pieces, and the share of whole-word arcs, from expected counts over all training words.
 
-    Only sums by piece come to the driver: as many numbers as the vocabulary has pieces, whatever the corpus.
+    Only sums by model and piece come to the driver: as many numbers as models times pieces, whatever the corpus.
     """
-    unit = lattice(vocabulary)
-    log_p, whole = unit.first_scores(), WHOLE if tokens else 0.0
-    seen = words.where("c > 0").select("word", "c")
+    unit, kinds = lattice(vocabulary), len(tokens)
+    unit_size = unit.size
+    log_ps, wholes = [unit.first_scores()] * kinds, [WHOLE if n else 0.0 for n in tokens]
     for _ in range(rounds):
 
-        def run(batches: Iterator[pa.RecordBatch], log_p=log_p, whole=whole) -> Iterator[pa.RecordBatch]:
-            own, total = lattice(vocabulary), None
+        def run(batches: Iterator[pa.RecordBatch], log_ps=log_ps, wholes=wholes) -> Iterator[pa.RecordBatch]:
+            own, totals = lattice(vocabulary), np.zeros((kinds, unit_size + 3))
             for batch in gathered(batches):
-                got = own.expected(batch.column("word").to_pylist(), batch.column("c").to_numpy().astype(float), log_p, whole, tokens)
-                total = got if total is None else total + got
-            if total is not None:
-                k = np.flatnonzero(total)
-                yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(total[k])], ["piece", "n"])
-
-        sums = seen.mapInArrow(run, "piece long, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect()
-        found = {r["piece"]: r["n"] for r in sums}
-        pieced = found.pop(unit.size + 2, 0.0)
-        counts = np.full(unit.size + 2, SMOOTH)
-        for k, n in found.items():
-            counts[k] += n
-        counts[unit.end] += pieced  # each word ends once: what follows its last piece
-        log_p = np.log(counts / counts.sum())
-        log_p[unit.byte] -= math.log(256)
-        whole = min(1 - 1e-6, 1 - pieced / tokens) if tokens else 0.0
-    return log_p, whole
-
-
-def score(docs: DataFrame, vocabulary: str, rounds: int = ROUNDS, frequent: int = FREQUENT) -> DataFrame:
-    """Per row of docs (doc_id, text): doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
+                column = np.array(batch.column("word").to_pylist(), object)
+                for z in range(kinds):
+                    c = batch.column(f"c{z}").to_numpy()
+                    if (c > 0).any():
+                        totals[z] += own.expected(list(column[c > 0]), c[c > 0].astype(float), log_ps[z], wholes[z], tokens[z])
+            z, k = np.nonzero(totals)
+            yield pa.RecordBatch.from_arrays([pa.array(z), pa.array(k), pa.array(totals[z, k])], ["kind", "piece", "n"])
+
+        sums = words.drop("n").mapInArrow(run, "kind long, piece long, n double").groupBy("kind", "piece").agg(F.sum("n").alias("n")).toArrow()
+        counts = np.zeros((kinds, unit.size + 3))
+        counts[sums["kind"].to_numpy(), sums["piece"].to_numpy()] = sums["n"].to_numpy()
+        pieced, counts = counts[:, -1], counts[:, :-1]
+        counts[:, unit.end] += pieced  # each word ends once: what follows its last piece
+        prior = counts.sum(0) + SMOOTH
+        counts = counts + PRIOR * prior / prior.sum()
+        log_ps = list(np.log(counts / counts.sum(1, keepdims=True)))
+        for log_p in log_ps:
+            log_p[unit.byte] -= math.log(256)
+        wholes = [min(1 - 1e-6, max(1 - p / n, d / n)) if n else 0.0 for p, n, d in zip(pieced.tolist(), tokens, documents, strict=True)]
+    return log_ps, wholes
+
+
+def score(docs: DataFrame, vocabulary: str, rounds: int = ROUNDS, frequent: int = FREQUENT, languages: int = LANGUAGES) -> DataFrame:
+    """Per row of docs (doc_id, text, and lang if there is one): doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Learning takes the rows with crc32 of the id's text modulo 5 other than 1 (and null ids). The pieces of the given
     sentencepiece vocabulary weight all segmentations of a word: a forward recursion in log space sums them. Its own
     scores are merge ranks and no probabilities, so they only start the estimate; expected counts over the training
     words make the probabilities. A word of the training texts has one more arc, from its first to its last node, whose
-    share of all words is estimated along with the pieces. score is log10 of the product over a text's words and its
-    end. base_score is the
+    share of all words is estimated along with the pieces. Each frequent language of the training rows weights the
+    lattice in its own way, all other rows (null lang too, or all if there is no lang) in one more. A text's probability
+    is the product over its words and its end, summed over these models by their shares of the training documents; its
+    own lang is never looked at. score is log10 of that, base_score the
     smoothed word unigram. Words differ in frequency by orders: the most frequent ones (a fixed number) go to the tasks
     that read the texts, all others meet their scores in a join that adaptive execution may split. Null or empty text is
     its end alone. Rows with equal doc_id are scored one by one; an empty table gives no rows.
     """
     small_batches(docs.sparkSession)
-    rows = with_fold(docs)
-    counts = stage(word_counts(rows), "words")
-    train_docs = rows.where("not held_out").count()
-    sums = counts.agg(F.sum("c").alias("c"), F.count_if(F.col("c") > 0).alias("v")).first()
-    total, distinct = (sums["c"] or 0) + train_docs, sums["v"] + (train_docs > 0)
-    log_p, whole = learn_pieces(counts, total, vocabulary, rounds)
-    stop = whole * train_docs / total if train_docs else float(np.exp(log_p[lattice(vocabulary).end]))
-    end = (math.log10(train_docs + 0.5), math.log10(stop), int(train_docs > 0))
+    rows, sizes = with_kind(with_fold(docs), languages)
+    train_docs, sizes = sum(sizes), sizes or [0]
+    kinds = range(len(sizes))
+    counts = stage(word_counts(rows, len(sizes)), "words")
+    seen = sum(F.col(f"c{z}") for z in kinds)
+    sums = counts.agg(*(F.sum(f"c{z}").alias(f"c{z}") for z in kinds), F.count_if(seen > 0).alias("v")).first()
+    tokens = [(sums[f"c{z}"] or 0) + sizes[z] for z in kinds]
+    total, distinct = sum(tokens), sums["v"] + (train_docs > 0)
+    log_ps, wholes = learn_pieces(counts, tokens, sizes, vocabulary, rounds)
+
+    def arc(z: int, own, every):
+        """Probability of a whole-word arc in model z, given the word's occurrences there and in all training texts."""
+        return wholes[z] * (OWN * own / max(1, tokens[z]) + (1 - OWN) * every / max(1, total))
+
+    if train_docs:
+        stops = [math.log10(arc(z, sizes[z], train_docs)) + math.log10(sizes[z] / train_docs) for z in kinds]
+    else:
+        stops = [float(log_ps[0][lattice(vocabulary).end]) / math.log(10)]
+    end = np.array([math.log10(train_docs + 0.5), int(train_docs > 0), *stops])
     norm = math.log10(total + 0.5 * (distinct + 1))
+    models = [f"l{z}" for z in kinds]
+    values = ["base", "known", *models]
+    kept = ", ".join(f"{c} double" for c in values)
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = lattice(vocabulary)
         for batch in gathered(batches):
-            c = batch.column("c").to_numpy()
-            pieced = own.marginals(batch.column("word").to_pylist(), log_p) + own.ends(log_p) + math.log1p(-whole)
-            with np.errstate(divide="ignore"):
-                lm = np.logaddexp(pieced, np.log(whole * c / max(1, total))) / math.log(10)
-            yield from pa.table([batch.column("word"), pa.array(np.log10(c + 0.5)), pa.array(lm), pa.array(c > 0), batch.column("n")], ["word", "base", "lm", "known", "n"]).to_batches()
-
-    scored = stage(counts.mapInArrow(weigh, "word string, base double, lm double, known boolean, n long"), "scores")
-    top = {r["word"].encode(): (r["base"], r["lm"], r["known"]) for r in scored.orderBy(F.desc("n"), "word").limit(frequent).collect()}
-    shared = docs.sparkSession.sparkContext.broadcast(top)
+            c = [batch.column(f"c{z}").to_numpy() for z in kinds]
+            every = sum(c)
+            lms = own.marginals_of_each(batch.column("word").to_pylist(), log_ps)
+            for z in kinds:
+                with np.errstate(divide="ignore"):
+                    lms[z] = np.logaddexp(lms[z] + own.ends(log_ps[z]) + math.log1p(-wholes[z]), np.log(arc(z, c[z], every))) / math.log(10)
+            columns = [pa.array(np.log10(every + 0.5)), pa.array((every > 0).astype(float)), *map(pa.array, lms)]
+            yield from pa.table([batch.column("word"), *columns, batch.column("n")], ["word", *values, "n"]).to_batches()
+
+    scored = stage(counts.mapInArrow(weigh, f"word string, {kept}, n long"), "scores")
+    top = scored.orderBy(F.desc("n"), "word").limit(frequent).toArrow()
+    places = {w.encode(): k for k, w in enumerate(top["word"].to_pylist())}
+    shared = docs.sparkSession.sparkContext.broadcast((places, np.array([top[c].to_numpy() for c in values]).T))
+    fields = [("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), *((c, pa.float64()) for c in values), ("rest", pa.list_(pa.string())), ("times", pa.list_(pa.int32()))]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
+        known, weights = shared.value
         for batch in batches:
             out = []
             for doc_id, held, text in zip(*(batch.column(k).to_pylist() for k in ("doc_id", "held_out", "text")), strict=True):
                 words = split_words(text)
-                sums, rest, times = list(end), [], []
+                at, often, rest, times = [], [], [], []
                 for w, k in Counter(words).items():
-                    if (got := known.get(w)) is not None:
-                        sums[0] += k * got[0]
-                        sums[1] += k * got[1]
-                        sums[2] += k * got[2]
+                    if (place := known.get(w)) is not None:
+                        at.append(place)
+                        often.append(k)
                     else:
                         rest.append(w.decode())
                         times.append(k)
-                out.append((doc_id, held, len(words) + 1, *sums, rest, times))
-            columns = list(zip(*out, strict=True)) if out else [()] * 8
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, READ.types, strict=True)], READ.names)
+                sums = end + np.array(often, float) @ weights[at] if at else end
+                out.append((doc_id, held, len(words) + 1, *sums.tolist(), rest, times))
+            columns = list(zip(*out, strict=True)) if out else [()] * len(fields)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, fields, strict=True)], [name for name, _ in fields])
 
-    parts = rows.mapInArrow(read, "doc_id long, held_out boolean, n_tokens long, base double, lm double, known long, rest array<string>, times array<int>")
+    parts = rows.drop("kind").mapInArrow(read, f"doc_id long, held_out boolean, n_tokens long, {kept}, rest array<string>, times array<int>")
     parts = stage(parts.withColumn("uid", F.monotonically_increasing_id()), "parts")
     tail = parts.select("uid", F.explode(F.arrays_zip("rest", "times")).alias("x")).select("uid", F.col("x.rest").alias("word"), F.col("x.times").alias("k"))
-    met = tail.join(scored.select("word", F.col("base").alias("b"), F.col("lm").alias("l"), F.col("known").alias("q")), "word")
-    added = met.groupBy("uid").agg(F.sum(F.col("k") * F.col("b")).alias("b"), F.sum(F.col("k") * F.col("l")).alias("l"), F.sum(F.when(F.col("q"), F.col("k")).otherwise(0)).alias("q"))
+    met = tail.join(scored.select("word", *values), "word")
+    added = met.groupBy("uid").agg(*(F.sum(F.col("k") * F.col(c)).alias(f"more_{c}") for c in values))
     both = parts.drop("rest", "times").join(added, "uid", "left")
-    plus = lambda a, b: F.col(a) + F.coalesce(b, F.lit(0))
-    return both.select(
-        "doc_id", "held_out", "n_tokens", plus("known", "q").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
-        (plus("base", "b") - F.col("n_tokens") * F.lit(norm)).alias("base_score"), plus("lm", "l").alias("score"),
+    whole = both.select("doc_id", "held_out", "n_tokens", *((F.col(c) + F.coalesce(f"more_{c}", F.lit(0.0))).alias(c) for c in values))
+    best = F.greatest(*models) if len(models) > 1 else F.col(models[0])
+    spread = F.log10(sum(F.pow(F.lit(10.0), F.col(c) - best) for c in models))
+    return whole.select(
+        "doc_id", "held_out", "n_tokens", F.col("known").cast("long").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
+        (F.col("base") - F.col("n_tokens") * F.lit(norm)).alias("base_score"), (best + spread).alias("score"),
     )
 
 
-READ = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("base", pa.float64()), ("lm", pa.float64()), ("known", pa.int64()), ("rest", pa.list_(pa.string())), ("times", pa.list_(pa.int32()))])
-
-
 def op2_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 

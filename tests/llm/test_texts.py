@@ -156,6 +156,32 @@ def test_lm(spark):
     assert all(r["score"] == pytest.approx(other[r["doc_id"]]) for r in got)
 
 
+def test_lm_of_languages(spark):
+    """A model for each frequent language: better on texts of a language, and the text's own lang doesn't matter."""
+    rng = np.random.default_rng(5)
+    syllables = {"a": ["the", "and", "tion", "ing", "er"], "b": ["que", "los", "ment", "eau", "ci"], "c": ["sch", "ung", "ein"], None: ["zz", "xy"]}
+    langs = ["a", "b", "a", "b", "c", None]
+    rows = [(k, " ".join("".join(rng.choice(syllables[langs[k % 6]], 2)) for _ in range(60)), langs[k % 6]) for k in range(120)]
+    path = P.path("piece_bpe_32k.model")
+    schema = "doc_id long, text string, lang string"
+    docs = spark.createDataFrame(rows, schema)
+    scores = lambda df, **o: {r["doc_id"]: r for r in lattice_lm.score(df, path, frequent=5, **o).collect()}
+    many, one, few = scores(docs), scores(docs.drop("lang")), scores(docs, languages=2)
+    held = [k for k, r in many.items() if r["held_out"]]
+    assert all(many[k]["base_score"] == pytest.approx(one[k]["base_score"]) for k in many)
+    assert sum(many[k]["score"] for k in held) > sum(few[k]["score"] for k in held) > sum(one[k]["score"] for k in held)
+    assert all(scores(docs, languages=0)[k]["score"] == pytest.approx(one[k]["score"]) for k in held[:5])
+    other = spark.createDataFrame([(k, t, "b" if k in held else z) for k, t, z in rows], schema)
+    moved = scores(other)
+    assert all(moved[k]["score"] == pytest.approx(many[k]["score"]) for k in many)
+
+
+def test_lm_on_held_out_documents(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    add = lambda df: df.where("held_out").agg({"score": "sum"}).first()[0]
+    assert add(lattice_lm.op2_lattice_lm(spark, sf_dir)) > add(lattice_lm.score(docs.drop("lang"), P.path("piece_bpe_32k.model")))
+
+
 # ---- pages
 
 
