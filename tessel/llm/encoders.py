@@ -17,10 +17,21 @@ CACHE_ENTRIES = 600_000
 #: Fixed value: the split that the library's ByteLevel pre-tokenizer has built in.
 BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
+#: Letters and printable characters whose classes are the same in every version of Unicode.
+_LATIN = "A-Za-zÀ-ÖØ-öø-ɏ"
+_WORD = re.compile(f"[{_LATIN}]+").fullmatch
+_PLAIN = re.compile(f"[ -~{_LATIN}]+").fullmatch
 _WIDE = re.compile(r"\s[ \n]")
 _HARD = re.compile(r"(?<=\S)(?=[ \n])")
 
 
+def byte_letters() -> dict[int, str]:
+    """The byte-level form: a byte that is a visible character of Latin-1 is itself, the others count up from U+0100."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(0x100 + k) for k, b in enumerate(hidden)}
+
+
 class _Cache(dict):
     """Piece to the bytes of its ids (little-endian unsigned 32-bit); missing pieces are encoded on the way."""
 
@@ -60,19 +71,28 @@ class PieceEncoder:
         else:
             self.mode = "whole"
         self.model, self.pre, self.norm = self.tokenizer.model, self.tokenizer.pre_tokenizer, self.tokenizer.normalizer
-        # Printable ASCII is its own byte-level form (but for the blank), and lower case is all that a normalizer does to
-        # it; so its pre-tokens can be had without the library's alignment of characters.
+        # The classes of printable ASCII and Latin letters never change, and lower case is all that a normalizer does to
+        # ASCII; so pre-tokens of such text can be had without the library's alignment of characters.
         self.lowers = "Lowercase" in [n["type"] for n in (norm or {}).get("normalizers", [])]
         self.scan = regex.compile(pre["pretokenizers"][0]["pattern"]["Regex"] if self.mode == "drop" else BYTE_LEVEL_PATTERN).findall
-        self.tokens = _Cache(lambda piece: array("I", [t.id for t in self.model.tokenize(piece)]).tobytes())
+        self.tokens = _Cache(self._ids)
         self.first = _Cache(self._piece)
         self.rest = _Cache(lambda p: self._piece(p if p[:1] == "\n" else " " + p))
+        self.letters = byte_letters()
+
+    def _ids(self, token: str) -> bytes:
+        return array("I", [t.id for t in self.model.tokenize(token)]).tobytes()
+
+    def _byte_level(self, text: str) -> str:
+        return text.replace(" ", "\u0120") if text.isascii() else text.encode().decode("latin-1").translate(self.letters)
 
     def _piece(self, text: str) -> bytes:
-        if text.isascii() and text.isprintable():
+        if self.mode == "keep" and _PLAIN(text):
+            if _WORD(text, text[:1] == " "):  # one pre-token, which the cache of pieces holds already
+                return self._ids(self._byte_level(text))
+            pieces = map(self._byte_level, self.scan(text))
+        elif text.isascii() and text.isprintable():
             pieces = self.scan(text.lower() if self.lowers else text)
-            if self.mode == "keep":
-                pieces = [p.replace(" ", "\u0120") for p in pieces]
         else:
             pieces = [p for p, _ in self.pre.pre_tokenize_str(self.norm.normalize_str(text) if self.norm is not None else text)]
         return b"".join(map(self.tokens.__getitem__, pieces))
