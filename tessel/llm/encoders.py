@@ -11,7 +11,8 @@ from array import array
 import numpy as np
 import regex
 
-#: Entries of a worker's cache of encoded pieces; it is emptied when full, which changes the cost only.
+#: Entries of a worker's cache of encoded pieces; it is emptied when full, which changes the cost only. Caches of pieces
+#: and of pre-tokens together hold twice as many.
 CACHE_ENTRIES = 600_000
 
 #: Fixed value: the split that the library's ByteLevel pre-tokenizer has built in.
@@ -77,7 +78,7 @@ class PieceEncoder:
         self.scan = regex.compile(pre["pretokenizers"][0]["pattern"]["Regex"] if self.mode == "drop" else BYTE_LEVEL_PATTERN).findall
         self.tokens = _Cache(self._ids)
         self.first = _Cache(self._piece)
-        self.rest = _Cache(lambda p: self._piece(p if p[:1] == "\n" else " " + p))
+        self.rest = _Cache(self._after_blank)
         self.letters = byte_letters()
 
     def _ids(self, token: str) -> bytes:
@@ -97,14 +98,19 @@ class PieceEncoder:
             pieces = [p for p, _ in self.pre.pre_tokenize_str(self.norm.normalize_str(text) if self.norm is not None else text)]
         return b"".join(map(self.tokens.__getitem__, pieces))
 
+    def _after_blank(self, piece: str) -> bytes:
+        if piece.isascii() and piece.isalpha():  # a blank and letters are one pre-token
+            return self._ids("\u0120" + piece)
+        return self._piece(piece if piece[:1] == "\n" else " " + piece)
+
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def encode(self, text: str) -> bytes:
         if self.mode == "whole" or any(s in text for s in self.special):
             return self.whole(text)
-        for cache in (self.first, self.rest, self.tokens):
-            if len(cache) > CACHE_ENTRIES:
+        if len(self.first) + len(self.rest) + len(self.tokens) > 2 * CACHE_ENTRIES:
+            for cache in (self.first, self.rest, self.tokens):
                 cache.clear()
         if self.mode == "drop":
             return b"".join(map(self.first.__getitem__, text.replace("\n", " ").split(" ")))
