@@ -69,7 +69,8 @@ def dual_traverse(a: CoverTree, b: CoverTree, cosine: float) -> Iterator[tuple[n
 
     Yields (rows, rows, True) where every row of the one links with every row of the other, and (rows, rows, False) for
     single pairs. Two nodes part ways if their centres are further apart than the threshold's distance and both radii;
-    if they are closer by both radii, all their points link and none is looked at.
+    if they are closer by both radii, all their points link and none is looked at. Nodes of one point each are decided by
+    their product alone.
     """
     limit = np.sqrt(2 - 2 * cosine)
     stack = [(a.root, b.root)]
@@ -79,7 +80,8 @@ def dual_traverse(a: CoverTree, b: CoverTree, cosine: float) -> Iterator[tuple[n
         dots = a.x[[c.center for c in left]] @ b.x[[c.center for c in right]].T
         apart = np.sqrt(np.maximum(0.0, 2 - 2 * dots))
         reach = np.array([c.radius for c in left])[:, None] + np.array([c.radius for c in right])[None, :]
-        points = reach == 0
+        # a radius of 0 doesn't make a node one point: distances between points that differ in the last bits round to 0
+        points = np.array([len(c.points) == 1 for c in left])[:, None] & np.array([len(c.points) == 1 for c in right])[None, :]
         exact = points & (dots >= cosine)
         if exact.any():
             i, j = np.nonzero(exact)

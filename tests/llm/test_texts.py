@@ -247,6 +247,27 @@ def test_cover_tree_is_exact():
     assert (hits == (x[:170] @ x[170:].T >= 0.93)).all()
 
 
+def tree_hits(x, cosine):
+    """How often each pair of rows is yielded, and the tree's nodes."""
+    tree, hits = cover_tree.CoverTree(x), np.zeros((len(x), len(x)), int)
+    for p, q, full in cover_tree.dual_traverse(tree, tree, cosine):
+        np.add.at(hits, np.ix_(p, q) if full else (p, q), 1)
+    nodes = [tree.root]
+    for n in nodes:
+        nodes += n.children or []
+    return hits, nodes
+
+
+def test_cover_tree_near_equal_points():
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(400, 64))
+    both = np.stack([v / np.linalg.norm(v, axis=1, keepdims=True), 3 * v / np.linalg.norm(3 * v, axis=1, keepdims=True)], 1)
+    x = both[(both[:, 0] != both[:, 1]).any(1)].reshape(-1, 64)
+    hits, nodes = tree_hits(x, 0.93)
+    assert any(len(n.points) > 1 and n.radius == 0 for n in nodes)
+    assert (hits == (x @ x.T >= 0.93)).all()
+
+
 @pytest.mark.parametrize("block", [16, 1024])
 def test_near_pairs(spark, block):
     rng = np.random.default_rng(4)
