@@ -13,8 +13,9 @@ from tessel.llm.common import components, small_batches, stage, table
 
 #: Vectors in a block at most, about; pivots are drawn from so many vectors and are so many at most.
 BLOCK, SAMPLE, PIVOTS = 1024, 4096, 256
-#: Slack on bounds from distances, far above rounding and far below any radius; decisions on pairs have none.
-SLACK = 1e-9
+#: Slack on bounds from distances, above what sqrt(2 - 2 * dot) rounds by (1.5e-8 for one last bit of dot, 1e-6 for the
+#: bound on 4096 terms); nodes within it are opened, and decisions on pairs have none.
+SLACK = 1e-6
 
 
 class Node:
@@ -46,7 +47,10 @@ class CoverTree:
             todo += [(c, reach / 2) for c in node.children if len(c.points) > 1]
 
     def distances(self, center: int, points: np.ndarray) -> np.ndarray:
-        return np.sqrt(np.maximum(0.0, 2 - 2 * (self.x[points] @ self.x[center])))
+        """From a row to rows; a row is at 0 from itself even if its rounded square isn't 1."""
+        d = np.sqrt(np.maximum(0.0, 2 - 2 * (self.x[points] @ self.x[center])))
+        d[points == center] = 0.0
+        return d
 
     def split(self, node: Node, reach: float) -> list[Node]:
         """A net of the node's points: centres are more than reach apart, each point is within reach of its centre."""
@@ -55,7 +59,6 @@ class CoverTree:
         while len(rest):
             d = self.distances(center, rest)
             near = d <= reach
-            near[rest == center] = True
             own = rest[near]
             out.append(Node(center, own, float(d[near].max())))
             rest = rest[~near]

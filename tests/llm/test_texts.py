@@ -268,6 +268,31 @@ def test_cover_tree_near_equal_points():
     assert (hits == (x @ x.T >= 0.93)).all()
 
 
+def test_cover_tree_at_the_limit():
+    rng = np.random.default_rng(6)
+    v, u = rng.normal(size=(2, 200, 64))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    u -= (u * v).sum(1, keepdims=True) * v
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    x, y = (a.astype(np.float32).astype(float) for a in (v, 0.93 * v + np.sqrt(1 - 0.93**2) * u))
+    x, y = (a / np.linalg.norm(a, axis=1, keepdims=True) for a in (x, y))
+    trees = cover_tree.CoverTree(x), cover_tree.CoverTree(y)
+    for tree in trees:
+        nodes = [tree.root]
+        for n in nodes:
+            nodes += n.children or []
+        assert all(n.radius == 0 for n in nodes if len(n.points) == 1)  # otherwise the traversal may not end
+    hits = np.zeros((200, 200), int)
+    for p, q, full in cover_tree.dual_traverse(*trees, 0.93):
+        np.add.at(hits, np.ix_(p, q) if full else (p, q), 1)
+    dots = x @ y.T
+    sure = abs(dots - 0.93) > 1e-14  # the last bit depends on the shape of the product
+    assert hits.max() == 1 and (hits == (dots >= 0.93))[sure].all()
+    # equal rows whose square rounds below 1
+    row = x[(x * x).sum(1) < 1][0]
+    assert (tree_hits(np.array([row] * 12), 0.93)[0] == 1).all()
+
+
 @pytest.mark.parametrize("block", [16, 1024])
 def test_near_pairs(spark, block):
     rng = np.random.default_rng(4)
