@@ -5,7 +5,7 @@ from __future__ import annotations
 import html
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -107,17 +107,16 @@ def blocks(page: str) -> list[Block]:
 
 
 def features(found: list[Block]) -> np.ndarray:
-    """A row for each block: hashed path tokens, hashed words, and shape."""
+    """A row for each block: hashed path tokens, the direction of its hashed counts of all words, and shape."""
     x = np.zeros((len(found), DIM), np.float32)
     for k, (path, text, linked) in enumerate(found):
         for t in path:
             x[k, zlib.crc32(t.encode()) % PATH_DIM] = 1
         if path:
             x[k, zlib.crc32(f"last {path[-1]}".encode()) % PATH_DIM] = 1
-        words = text.lower().split()[:60]
-        for w in words:
-            x[k, PATH_DIM + zlib.crc32(w.encode()) % WORD_DIM] += 1
-        x[k, PATH_DIM : PATH_DIM + WORD_DIM] = np.minimum(x[k, PATH_DIM : PATH_DIM + WORD_DIM], 3) / np.sqrt(len(words))
+        # neither cut nor capped: in a long block a cap would hold at every place, and later words would count for nothing
+        counts = np.bincount([zlib.crc32(w.encode()) % WORD_DIM for w in text.lower().split()], minlength=WORD_DIM)
+        x[k, PATH_DIM : PATH_DIM + WORD_DIM] = counts / np.linalg.norm(counts)
         x[k, -DENSE_DIM:] = (np.log1p(len(text)) / 8, linked, k / len(found), (len(found) - k) / len(found), text[-1] in ".!?")
     return x
 
@@ -180,6 +179,18 @@ def padded(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return x, mask
 
 
+def sparse(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """Places and values of what isn't 0, and the number of rows: a sample page of any number of blocks is kept so."""
+    at = np.flatnonzero(x).astype(np.int32)
+    return at, x.ravel()[at], len(x)
+
+
+def dense(at: np.ndarray, values: np.ndarray, rows: int) -> np.ndarray:
+    x = np.zeros(rows * DIM, np.float32)
+    x[at] = values
+    return x.reshape(rows, DIM)
+
+
 def label(rows: list[np.ndarray], w: dict[str, np.ndarray]) -> list[np.ndarray]:
     """Probability of each block to be main text, for pages given by their blocks' features."""
     out: list[np.ndarray] = [np.zeros(0, np.float32)] * len(rows)
@@ -196,11 +207,11 @@ def label(rows: list[np.ndarray], w: dict[str, np.ndarray]) -> list[np.ndarray]:
     return out
 
 
-def fit(pages: list[tuple[list[Block], list[int]]], seed: int = 3) -> dict[str, np.ndarray]:
+def fit(pages: Iterable[tuple[list[Block], list[int]]], seed: int = 3) -> dict[str, np.ndarray]:
     """Weights by back-propagation through time over whole pages, with Adam."""
     w = new_weights(seed)
     rng = np.random.default_rng(seed)
-    data = [(features(b), np.array(y, np.float32)) for b, y in pages if b]
+    data = [(sparse(features(b)), np.array(y, np.float32)) for b, y in pages if b]
     first = {k: np.zeros_like(v) for k, v in w.items()}
     second = {k: np.zeros_like(v) for k, v in w.items()}
     step = 0
@@ -208,8 +219,9 @@ def fit(pages: list[tuple[list[Block], list[int]]], seed: int = 3) -> dict[str,
         # pages of like length go together, so that little is padded
         order = sorted(rng.permutation(len(data)), key=lambda k: len(data[k][1]) + rng.integers(0, 8))
         batches = np.array_split(order, max(1, len(data) // 16))
+        batches = [part for b in batches for part in np.array_split(b, min(len(b), -(-len(b) * max(len(data[k][1]) for k in b) // 16_000)))]
         for batch in (batches[k] for k in rng.permutation(len(batches))):
-            x, mask = padded([data[k][0] for k in batch])
+            x, mask = padded([dense(*data[k][0]) for k in batch])
             y = np.zeros(mask.shape, np.float32)
             for row, k in enumerate(batch):
                 y[row, : len(data[k][1])] = data[k][1]
@@ -290,14 +302,14 @@ def extract(pages: DataFrame, seed: int = 3) -> DataFrame:
     """Per row of pages (page_id, url, html): page_id, url, text, n_chars.
 
     Every page is cut into leaf blocks; the labeller, fitted on a bounded sample of the pages with labels from their
-    article elements, reads each block's path and words and, through both directions of the LSTM, all other blocks. The
+    article elements, reads each block's path and all its words and, through both directions of the LSTM, all other blocks. The
     blocks that it takes as main text are joined in page order by two line feeds. Null or empty html, and pages without
     main text, give an empty text. Unclosed tags end with their parent; text of any length is read whole; rows with equal
     page_id are kept; other columns are ignored; an empty table gives no rows.
     """
     small_batches(pages.sparkSession)
     rng = np.random.default_rng(seed)
-    w = fit([v for page in training_pages(pages) for v in variants(blocks(page)[:200], rng)], seed)
+    w = fit((v for page in training_pages(pages) for v in variants(blocks(page), rng)), seed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

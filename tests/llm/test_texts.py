@@ -212,6 +212,28 @@ def test_gradient():
         assert dz[at] == pytest.approx(slope, abs=2e-2)
 
 
+def test_features_read_all_words():
+    found = lambda words: [(["t:p"], " ".join(words), 0.0)]
+    at = slice(html_blocks.PATH_DIM, html_blocks.PATH_DIM + html_blocks.WORD_DIM)
+    words = [f"w{k % 500}" for k in range(2000)]
+    x = html_blocks.features(found(words))[0, at]
+    want = np.bincount([zlib.crc32(w.encode()) % html_blocks.WORD_DIM for w in words], minlength=html_blocks.WORD_DIM)
+    assert np.allclose(x / x.sum(), want / want.sum(), atol=1e-6)
+    for k in (61, 1000, 1999):  # a word at any place counts
+        assert not np.allclose(html_blocks.features(found([*words[:k], *["other"] * 40, *words[k + 40 :]]))[0, at], x, atol=1e-3)
+
+
+def test_fit_reads_all_blocks(spark, monkeypatch):
+    """All blocks of a sample page are fitted on, whatever their number."""
+    page = "<html><body><article>" + "".join(f"<p>some text of paragraph {k}." for k in range(300)) + "</article><footer><p>the end</footer></body></html>"
+    seen = []
+    monkeypatch.setattr(html_blocks, "fit", lambda pages, seed: seen.extend(pages) or html_blocks.new_weights(seed))
+    html_blocks.extract(spark.createDataFrame([(1, "u", page)], "page_id long, url string, html string"))
+    assert [len(seen[0][0]), sum(seen[0][1]), seen[0][0][-1][1]] == [301, 300, "the end"]
+    rows = html_blocks.features(seen[0][0])
+    assert (html_blocks.dense(*html_blocks.sparse(rows)) == rows).all()
+
+
 def test_extract(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     extra = spark.createDataFrame([(10**6, "u", None), (10**6 + 1, None, ""), (10**6 + 2, "v", "<html><nav><a>only a menu</a></nav></html>")], "page_id long, url string, html string")
