@@ -18,6 +18,7 @@ from tessel.llm.common import small_batches, table
 INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style noscript template textarea title svg math iframe object".split())
+FOREIGN = {"svg", "math"}
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 CONTENT = [["t:article"], ["t:main"], ["t:main", "t:article"], ["t:div", "c:content"], ["t:div", "c:main", "c:content"], ["t:div", "c:post"], ["t:div", "c:article", "c:body"], ["t:section", "c:article"], ["t:div", "c:entry", "c:content"], ["t:div", "c:story"]]
 BOILER_TAGS = "nav header footer aside form button menu dialog select".split()
@@ -83,6 +84,8 @@ def blocks(page: str) -> list[Block]:
         name = name.lower()
         if name in RAW and not m[1]:
             flush()
+            if name in FOREIGN and m[3].endswith("/"):
+                continue  # closed by itself, which HTML knows only for foreign elements
             close = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
             at = close.end() if close else end
             continue

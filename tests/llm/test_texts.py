@@ -192,6 +192,12 @@ def test_blocks():
     assert html_blocks.blocks("<")[0][1] == "<" and html_blocks.blocks("<p <script>x")
 
 
+def test_foreign_elements_closed_by_themselves():
+    texts = lambda page: [t for _, t, _ in html_blocks.blocks(page)]
+    assert texts("<p>a<svg class='icon' /><p>b<svg><text>no</text></svg><math/><p>c<SVG/>d") == ["a", "b", "c", "d"]
+    assert texts("<p>a<svg><text>no</text></svg>b<script/>no</script>c") == ["a", "b", "c"]
+
+
 def test_gradient():
     rng = np.random.default_rng(0)
     pages = [([(["t:p", "c:x"], "some words here", 0.0), (["t:nav"], "menu", 1.0), (["t:p"], "more words", 0.0)], [1, 0, 1])] * 4
