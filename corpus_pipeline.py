@@ -9,29 +9,30 @@ from tessel.llm import count_rtree, packing, quality_cnn, quality_rules
 from tessel.llm.common import stage, table
 
 
-def keep(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id (null included) is among ids."""
-    named = ids.select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(named, docs["doc_id"].eqNullSafe(named["_kept"]), "left_semi")
-
-
 def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and the certified cutoffs of their language."""
-    judged = quality_rules.judge(docs, table(spark, sf_dir, "labels"))
-    return keep(docs, judged.where("kept"))
+    """Rows that pass the base rules and the certified cutoffs of their language, each by its own text."""
+    return quality_rules.judge(docs, table(spark, sf_dir, "labels"), whole=True).where("kept").select("_row.*")
 
 
 def quality_classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier holds for good ones."""
-    scored = quality_cnn.score(docs, table(spark, sf_dir, "labels"))
-    return keep(docs, scored.where("predicted = 1"))
+    """Rows that the classifier holds for good ones, each by its own text."""
+    return quality_cnn.score(docs, table(spark, sf_dir, "labels"), whole=True).where("predicted = 1").select("_row.*")
 
 
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, that with the smallest doc_id, once; rows without an id all stay."""
-    classes = count_rtree.jaccard_components(docs)
-    first = classes.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+    """One row of each group of near copies, one with the smallest doc_id; rows without an id all stay.
+
+    If a doc_id is repeated, its rows are compared as documents of their own: those with other texts stay.
+    """
+    named = docs.where("doc_id is not null")
+    if named.groupBy("doc_id").count().where("count > 1").isEmpty():
+        first = count_rtree.jaccard_components(named).where("doc_id = component_id").select("doc_id")
+        return named.join(first, "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))
+    rows = stage(named.select(F.monotonically_increasing_id().alias("_no"), F.struct("*").alias("_row")), "rows")
+    classes = count_rtree.jaccard_components(rows.select(F.col("_no").alias("doc_id"), "_row.text")).withColumnRenamed("doc_id", "_no")
+    order = F.struct(F.col("_row.doc_id").alias("id"), "_no")
+    first = classes.join(rows.select("_no", order.alias("order")), "_no").groupBy("component_id").agg(F.min("order")["_no"].alias("_no"))
+    return rows.join(first, "_no", "left_semi").select("_row.*").unionByName(docs.where("doc_id is null"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -115,7 +115,7 @@ def training_sample(docs: DataFrame, labels: DataFrame) -> list[tuple[bytes, int
     return [(r["text"].encode(), r["quality"]) for r in sorted(rows, key=lambda r: r["doc_id"])]
 
 
-def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, whole: bool = False) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id, held_out, score, predicted.
 
     A filter is a table of what each byte at each of WIDTH offsets adds. Every text is read whole in overlapping chunks;
@@ -123,9 +123,10 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     makes the probability of quality label 1. Filters and unit are learned together. held_out: crc32 of the id's text
     modulo 3 is 1; such rows never reach the fit. Null and empty texts score like a few zero bytes. A null doc_id is not
     held out. Rows with equal doc_id are scored one by one; without labels of both classes the score is the smoothed
-    share of label 1; other columns are ignored.
+    share of label 1; other columns are ignored. With whole, _row has all columns of the row that is scored.
     """
     small_batches(docs.sparkSession)
+    own = ["_row"] if whole else []
     sample = training_sample(docs, labels)
     w = fit([t for t, _ in sample], [q for _, q in sample])
 
@@ -133,12 +134,12 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
         pairs = pair_tables(w)
         for batch in batches:
             scores = [probability(chunk_maxima(t, pairs)[0], w)[0] for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores, pa.float64())], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores, pa.float64()), *batch.columns[2:]], ["doc_id", "score", *own])
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-    scored = rows.mapInArrow(run, "doc_id long, score double")
+    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).cast("binary").alias("text"), *[F.struct("*").alias(c) for c in own])
+    scored = rows.mapInArrow(run, ", ".join(["doc_id long, score double", *[f"{c} {dict(rows.dtypes)[c]}" for c in own]]))
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
-    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), *own)
 
 
 def op6_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -189,21 +189,23 @@ def fit_cutoffs(counted: DataFrame, labels: DataFrame, alpha: float, delta: floa
     return rows.select("_s", F.transform_values("proposed", lambda _, c: loosened(c, F.col("factor"))).alias("cutoffs"))
 
 
-def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: float = 0.02, delta: float = 0.05) -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: float = 0.02, delta: float = 0.05, whole: bool = False) -> DataFrame:
     """Per row of docs (doc_id, text, stratum column): the counts, base_failed, rejected_by (rules) and kept.
 
     A document is kept if it passes the base rules and no rule of its stratum has it above the cutoff. With probability
     1 - delta at least, the rules reject no more than alpha of the good documents of any stratum. Strata without enough
     labelled good documents have no cutoffs and reject nothing. Null text has no words and fails the base rules; a null
     stratum is a stratum; labels that are null, or for other documents, are not used; repeated rows are judged one by
-    one; an empty table gives no rows.
+    one; an empty table gives no rows. With whole, _row has all columns of the row that is judged.
     """
-    counted = stage(with_counts(docs.withColumn("_stratum", F.col(f"`{stratum}`").cast("string")), ["doc_id", "_stratum"]), "counts")
+    own = ["_row"] if whole else []
+    docs = docs.select("*", *[F.struct("*").alias(c) for c in own])
+    counted = stage(with_counts(docs.withColumn("_stratum", F.col(f"`{stratum}`").cast("string")), ["doc_id", "_stratum", *own]), "counts")
     cutoffs = stage(fit_cutoffs(counted, labels, alpha, delta), "cutoffs")
     rows = counted.join(cutoffs, F.col("_stratum").eqNullSafe(F.col("_s")), "left")
     hit = [F.when(statistic(r) > F.coalesce(F.element_at("cutoffs", F.lit(r)), F.lit(STEPS)), F.lit(r)) for r in RULES]
     rows = rows.withColumn("rejected_by", F.array_compact(F.array(*hit))).withColumn("base_failed", base_failed())
-    return rows.select("doc_id", *NAMES, "base_failed", "rejected_by", (~F.col("base_failed") & (F.size("rejected_by") == 0)).alias("kept"))
+    return rows.select("doc_id", *NAMES, "base_failed", "rejected_by", (~F.col("base_failed") & (F.size("rejected_by") == 0)).alias("kept"), *own)
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -428,3 +428,21 @@ def test_pipeline(spark, sf_dir):
     assert all(k == v for k, v in best.items())
     packed = corpus_pipeline.STAGES[-1][1](spark, seen, sf_dir)
     assert {r[0] for r in packed.select("doc_id").distinct().collect()} == set(best)
+
+
+def test_pipeline_with_repeated_ids(spark, sf_dir):
+    import corpus_pipeline
+
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    text = lambda p: " ".join(f"{p}{k} plain words here" for k in range(40))
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    scored = {r["predicted"]: texts[r["doc_id"]] for r in quality_cnn.score(docs, labels).collect()}
+    for step, good, bad in ((corpus_pipeline.quality_rules_stage, text("a"), "too short"), (corpus_pipeline.quality_classifier_stage, scored[1], scored[0])):
+        rows = [(i, t, "en") for i in (10**6, None) for t in (good, bad)]
+        out = step(spark, docs.unionByName(spark.createDataFrame(rows, "doc_id long, text string, lang string"), allowMissingColumns=True), sf_dir)
+        assert out.columns == docs.columns
+        assert Counter((r["doc_id"], r["text"]) for r in out.collect() if r["doc_id"] in (10**6, None)) == Counter([(10**6, good), (None, good)])
+    rows = [(7, text("a")), (7, text("b")), (7, text("b")), (8, text("b")), (3, text("c")), (9, text("c")), (None, text("a")), (None, text("a"))]
+    got = corpus_pipeline.jaccard_stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), sf_dir).collect()
+    want = [(7, text("a")), (7, text("b")), (3, text("c")), (None, text("a")), (None, text("a"))]
+    assert Counter(map(tuple, got)) == Counter(want)
