@@ -8,7 +8,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from tessel.llm.common import components, small_batches, stage, table
 from tessel.llm.lattice_lm import split_words
@@ -191,6 +190,16 @@ def bound_pairs(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a long, b long")
 
 
+def shared_cells(entries: DataFrame) -> DataFrame:
+    """Entries (cell, node, n) of cells with more than one, and the cell's leader, its smallest (node, n).
+
+    Leaders are found before the shuffle as far as they can be, and a hot cell's entries are a join's, which adaptive
+    execution can split over tasks.
+    """
+    heads = entries.groupBy("cell").agg(F.min(F.struct("node", "n")).alias("head"), F.count("*").alias("many")).where("many > 1")
+    return entries.join(heads.select("cell", "head"), "cell").select("cell", "node", "n", F.col("head.node").alias("leader"), F.col("head.n").alias("leader_n"))
+
+
 def leaf_pairs(rows: DataFrame, keys: list[str], percent: int) -> DataFrame:
     """Pairs of like size and different components within cells of at most LEAF documents, as (a, n_a, b, n_b) with a > b."""
     side = lambda s: rows.select(*keys, *[F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "comp", "own")])
@@ -244,9 +253,7 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFr
     reps = stage(sets.groupBy("sign").agg(F.min("doc_id").alias("rep"), F.count("*").alias("m")), "reps")
     chosen = sets.join(reps.select("sign", F.col("rep").alias("doc_id")), ["sign", "doc_id"], "left_semi")
     entries = chosen.select(F.col("doc_id").alias("node"), F.col("n").cast("int").alias("n"), F.explode("cells").alias("cell"))
-    cell = Window.partitionBy("cell")
-    head = F.min(F.struct("node", "n")).over(cell)
-    shared = stage(entries.withColumn("head", head).withColumn("many", F.count("*").over(cell)).where("many > 1").select("cell", "node", "n", F.col("head.node").alias("leader"), F.col("head.n").alias("leader_n")), "cells")
+    shared = stage(shared_cells(entries), "cells")
 
     points = stage(chosen.select(F.col("doc_id").alias("node"), "point"), "points")
     stars = shared.where((F.col("node") != F.col("leader")) & ratio_ok(F.col("n"), F.col("leader_n"), percent)).select("node", "n", "leader", "leader_n").distinct()

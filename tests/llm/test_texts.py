@@ -403,6 +403,18 @@ def test_tree_keeps_all_links():
     assert want <= found and len(found) < 200 * 199 / 4
 
 
+def test_shared_cells_without_a_window(spark):
+    rng = np.random.default_rng(8)
+    rows = [(int(c), int(v), int(v) % 5) for c, v in zip(rng.integers(0, 300, 400), rng.permutation(400), strict=True)] + [(-1, k, 9) for k in range(500, 700)]
+    out = count_rtree.shared_cells(spark.createDataFrame(rows, "cell int, node long, n int"))
+    assert "Window" not in out._jdf.queryExecution().toString()
+    cells = {}
+    for c, v, n in rows:
+        cells.setdefault(c, []).append((v, n))
+    want = [(c, *e, *min(own)) for c, own in cells.items() if len(own) > 1 for e in own]
+    assert Counter(map(tuple, out.collect())) == Counter(want)
+
+
 def test_same_id_with_other_text(spark):
     a, b, c = (" ".join(f"{p}{k}" for k in range(30)) for p in "xyz")
     rows = [(1, a), (2, b), (3, a), (3, b), (4, c)]
