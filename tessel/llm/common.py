@@ -8,8 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Python workers get record batches of at most this many rows, so that a batch of long texts stays small.
-BATCH_ROWS = 1000
+#: Python workers get record batches of at most this many rows and, but for a single longer row, bytes.
+BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
 
 _local_scratch: dict[str, str] = {}
 
@@ -19,8 +19,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound what one Arrow batch holds; the setting is read when a plan runs, so it stays set."""
+    """Bound what one Arrow batch holds; the settings are read when a plan runs, so they stay set."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:

@@ -1,29 +1,30 @@
-"""Fast exact token ids from the tokenizers and sentencepiece libraries, by pieces that cannot influence each other."""
+"""Fast exact token ids from the tokenizers library, by pieces that cannot influence each other."""
 
 from __future__ import annotations
 
 import functools
+import gc
 import json
 import os
 import re
 from array import array
+from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
-#: Entries of a worker's cache of encoded pieces; it is emptied when full, which changes the cost only. Caches of pieces
-#: and of pre-tokens together hold twice as many.
-CACHE_ENTRIES = 600_000
+#: Entries of one generation of a worker's cache of encoded pieces; two generations are held.
+CACHE_ENTRIES = 500_000
 
 #: Fixed value: the split that the library's ByteLevel pre-tokenizer has built in.
 BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-#: Letters and printable characters whose classes are the same in every version of Unicode.
-_LATIN = "A-Za-zÀ-ÖØ-öø-ɏ"
-_WORD = re.compile(f"[{_LATIN}]+").fullmatch
-_PLAIN = re.compile(f"[ -~{_LATIN}]+").fullmatch
-_WIDE = re.compile(r"\s[ \n]")
+#: Places where a text may be cut before a blank or line feed.
 _HARD = re.compile(r"(?<=\S)(?=[ \n])")
+#: Printable ASCII and Latin-1 letters: their classes and lower-case forms are the same in every version of Unicode.
+_PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+").fullmatch
 
 
 def byte_letters() -> dict[int, str]:
@@ -33,16 +34,35 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(0x100 + k) for k, b in enumerate(hidden)}
 
 
-class _Cache(dict):
-    """Piece to the bytes of its ids (little-endian unsigned 32-bit); missing pieces are encoded on the way."""
+class Generations:
+    """A bounded map from pieces to the bytes of their ids (little-endian unsigned 32-bit), encoded where missing.
 
-    def __init__(self, encode):
-        super().__init__()
-        self.encode = encode
+    A piece that is asked for is in the young generation; when that is full it becomes the old one, and what was old and
+    never asked for again goes. So rare pieces leave and frequent ones stay; only the cost depends on it.
+    """
 
-    def __missing__(self, key):
-        got = self[key] = self.encode(key)
-        return got
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], entries: int = CACHE_ENTRIES):
+        self.encode, self.entries = encode, entries
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def __call__(self, pieces: list[str]) -> list[bytes]:
+        if len(self.young) > self.entries:
+            self.young, self.old = {}, self.young
+        young, old = self.young, self.old
+        out = list(map(young.get, pieces))
+        absent = [k for k, v in enumerate(out) if v is None]
+        if absent:
+            names = [pieces[k] for k in absent]
+            if old:
+                young.update((x, v) for x, v in zip(names, map(old.get, names)) if v is not None)
+                unknown = list(dict.fromkeys(x for x in names if x not in young))
+            else:
+                unknown = list(dict.fromkeys(names))
+            young.update(zip(unknown, self.encode(unknown), strict=True))
+            for k, x in zip(absent, names, strict=True):
+                out[k] = young[x]
+        return out
 
 
 class PieceEncoder:
@@ -50,8 +70,9 @@ class PieceEncoder:
 
     A text is cut only where no pre-token can reach across: before a blank or a line feed that follows a character
     which is no white space (byte-level vocabularies), or at blanks and line feeds where white space is dropped. Each
-    distinct piece goes through the library's normalizer, pre-tokenizer and model once. A text that holds an added
-    token's string, or a tokenizer of another build, takes the library's whole encode.
+    distinct piece of a batch is looked up once; a piece that no cache holds is cut into pre-tokens, each of which goes
+    through the library's model once. A text that holds an added token's string, or a tokenizer of another build, takes
+    the library's whole encode.
     """
 
     def __init__(self, path: str):
@@ -72,54 +93,93 @@ class PieceEncoder:
         else:
             self.mode = "whole"
         self.model, self.pre, self.norm = self.tokenizer.model, self.tokenizer.pre_tokenizer, self.tokenizer.normalizer
-        # The classes of printable ASCII and Latin letters never change, and lower case is all that a normalizer does to
-        # ASCII; so pre-tokens of such text can be had without the library's alignment of characters.
+        # The classes of these characters never change, and lower case is all that a normalizer does to them; so their
+        # pre-tokens can be had without the library's alignment of characters.
         self.lowers = "Lowercase" in [n["type"] for n in (norm or {}).get("normalizers", [])]
         self.scan = regex.compile(pre["pretokenizers"][0]["pattern"]["Regex"] if self.mode == "drop" else BYTE_LEVEL_PATTERN).findall
-        self.tokens = _Cache(self._ids)
-        self.first = _Cache(self._piece)
-        self.rest = _Cache(self._after_blank)
         self.letters = byte_letters()
-
-    def _ids(self, token: str) -> bytes:
-        return array("I", [t.id for t in self.model.tokenize(token)]).tobytes()
-
-    def _byte_level(self, text: str) -> str:
-        return text.replace(" ", "\u0120") if text.isascii() else text.encode().decode("latin-1").translate(self.letters)
-
-    def _piece(self, text: str) -> bytes:
-        if self.mode == "keep" and _PLAIN(text):
-            if _WORD(text, text[:1] == " "):  # one pre-token, which the cache of pieces holds already
-                return self._ids(self._byte_level(text))
-            pieces = map(self._byte_level, self.scan(text))
-        elif text.isascii() and text.isprintable():
-            pieces = self.scan(text.lower() if self.lowers else text)
-        else:
-            pieces = [p for p, _ in self.pre.pre_tokenize_str(self.norm.normalize_str(text) if self.norm is not None else text)]
-        return b"".join(map(self.tokens.__getitem__, pieces))
-
-    def _after_blank(self, piece: str) -> bytes:
-        if piece.isascii() and piece.isalpha():  # a blank and letters are one pre-token
-            return self._ids("\u0120" + piece)
-        return self._piece(piece if piece[:1] == "\n" else " " + piece)
+        self.tokens = Generations(self._model)
+        self.first = Generations(functools.partial(self._pieces, blank=""))
+        self.rest = Generations(functools.partial(self._pieces, blank=" ")) if self.mode == "keep" else self.first
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
+    def _model(self, tokens: list[str]) -> list[bytes]:
+        return [array("I", [t.id for t in self.model.tokenize(x)]).tobytes() for x in tokens]
+
+    def _parts(self, piece: str, blank: str) -> list[str]:
+        """Pre-tokens in byte-level form; pieces behind the first one had a blank, which was cut off, or begin with a line feed."""
+        text = piece if piece[:1] == "\n" else blank + piece
+        if _PLAIN(piece):
+            text = text.lower() if self.lowers else text
+            form = text.replace(" ", "Ġ") if text.isascii() else None
+            if form and piece.isalpha():
+                return [form]
+            parts = self.scan(text)
+            if form:
+                return [parts[0].replace(" ", "Ġ"), *parts[1:]]
+            return [p.encode().decode("latin-1").translate(self.letters) for p in parts]
+        return [p for p, _ in self.pre.pre_tokenize_str(self.norm.normalize_str(text) if self.norm is not None else text)]
+
+    def _pieces(self, pieces: list[str], blank: str) -> list[bytes]:
+        collects = gc.isenabled()
+        gc.disable()  # many small lists, no cycles: collections would only walk through them
+        try:
+            parts = [self._parts(p, blank) for p in pieces]
+            ids = iter(self.tokens([x for own in parts for x in own]))
+            return [next(ids) if len(own) == 1 else b"".join([next(ids) for _ in own]) for own in parts]
+        finally:
+            if collects:
+                gc.enable()
+
     def encode(self, text: str) -> bytes:
-        if self.mode == "whole" or any(s in text for s in self.special):
-            return self.whole(text)
-        if len(self.first) + len(self.rest) + len(self.tokens) > 2 * CACHE_ENTRIES:
-            for cache in (self.first, self.rest, self.tokens):
-                cache.clear()
-        if self.mode == "drop":
-            return b"".join(map(self.first.__getitem__, text.replace("\n", " ").split(" ")))
-        if _WIDE.search(text):
-            return b"".join(map(self.first.__getitem__, _HARD.split(text)))
-        pieces = text.replace("\n", " \n").split(" ")
-        head = self.first[pieces[0]]
-        del pieces[0]
-        return head + b"".join(map(self.rest.__getitem__, pieces))
+        return self.encode_many(pa.array([text], pa.string()))[0].tobytes()
+
+    def encode_many(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids (unsigned 32-bit) of each text; texts has no nulls."""
+        if self.mode == "whole":
+            return [np.frombuffer(self.whole(t), "<u4") for t in texts.to_pylist()]
+        alone = np.zeros(len(texts), bool)
+        for s in self.special:
+            alone |= pc.match_substring(texts, s).to_numpy(zero_copy_only=False)
+        out = self._cut(texts)
+        if self.mode == "keep":
+            for k in np.flatnonzero(self._wide & ~alone):
+                out[k] = np.frombuffer(b"".join(self.first(_HARD.split(texts[k].as_py()))), "<u4")
+        for k in np.flatnonzero(alone):
+            out[k] = np.frombuffer(self.whole(texts[k].as_py()), "<u4")
+        return out
+
+    def _cut(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids by pieces between blanks; wrong for texts with a special string, and for those that _wide then marks."""
+        lists = pc.split_pattern(pc.replace_substring(texts, "\n", " \n" if self.mode == "keep" else " "), " ")
+        offsets = lists.offsets.to_numpy()
+        words = lists.values.slice(int(offsets[0]), int(offsets[-1] - offsets[0])).dictionary_encode()
+        offsets = offsets - offsets[0]
+        which = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        names = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words.dictionary)], pa.int32()), words.dictionary), " ")[0].as_py().split(" ") if len(words.dictionary) else []
+        values = self.rest(names)
+        if self.mode == "keep":
+            # white space before a blank or line feed is not cut off by itself: such a piece is empty or ends in white space
+            odd = np.fromiter((not w or w[-1].isspace() for w in names), bool, len(names))[which]
+            odd[offsets[1:] - 1] = False
+            inner = offsets[:-1][odd[offsets[:-1]]]
+            odd[inner] = [bool(names[k]) for k in which[inner]]
+            self._wide = np.zeros(len(texts), bool)
+            self._wide[np.searchsorted(offsets, np.flatnonzero(odd), "right") - 1] = True
+            # a text's first piece has no blank before it
+            heads = self.first([names[k] for k in which[offsets[:-1]]])
+            which[offsets[:-1]] = len(names) + np.arange(len(heads))
+            values = values + heads
+        sizes = np.fromiter(map(len, values), np.int64, len(values)) // 4
+        ids = np.frombuffer(b"".join(values), "<u4")
+        starts = np.cumsum(sizes) - sizes
+        each = sizes[which]
+        ends = np.cumsum(each)
+        flat = ids[np.repeat(starts[which] - (ends - each), each) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        bounds = np.concatenate(([0], ends))[offsets]
+        return [flat[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
 
 
 @functools.lru_cache(maxsize=4)

@@ -122,9 +122,9 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 2048, lin
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], NAMES)
 
         for batch in batches:
-            for name, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            for name, own in zip(batch.column("doc_id").to_pylist(), encoder.encode_many(batch.column("text")), strict=True):
                 names.append(name)
-                ids.append(encoder.encode(text) + end)
+                ids.append(own.tobytes() + end)
                 held += len(ids[-1]) // 4
                 if held >= WINDOW_TOKENS:
                     yield flush()

@@ -30,16 +30,16 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, s
     small_batches(docs.sparkSession)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = piece_encoder(tokenizer), np.array([end_id], dtype="<u4").tobytes()
+        encoder, end = piece_encoder(tokenizer), np.array([end_id], dtype="<u4")
         block, before = TaskContext.get().partitionId(), 0
         for batch in batches:
-            coded = [encoder.encode(text) + end for text in batch.column("text").to_pylist()]
-            sizes = np.array([len(c) // 4 for c in coded], dtype=np.int64)
+            coded = encoder.encode_many(batch.column("text"))
+            sizes = np.array([len(c) + 1 for c in coded], dtype=np.int64)
             ends = np.cumsum(sizes)
-            ids = pa.array(np.frombuffer(b"".join(coded), dtype="<i4"))
+            ids = pa.array(np.concatenate([part for c in coded for part in (c, end)] or [end[:0]]).view("<i4"))
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)).astype(np.int32)), ids)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(np.full(len(coded), block)), pa.array(before + ends - sizes), lists],
+                [batch.column("doc_id"), pa.array(np.full(len(coded), block, np.int64)), pa.array(before + ends - sizes), lists],
                 ["doc_id", "block", "block_start", "ids"],
             )
             before += int(ends[-1]) if len(ends) else 0

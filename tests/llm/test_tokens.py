@@ -4,6 +4,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers as P
 import pytest
 import tiktoken
@@ -12,7 +13,7 @@ from tokenizers import Tokenizer
 
 from tessel.llm import bpe_codec, chunks, packing, token_counts, token_files
 from tessel.llm.common import scratch_path
-from tessel.llm.encoders import piece_encoder
+from tessel.llm.encoders import Generations, piece_encoder
 
 TEXTS = [
     (3, "Hello  world,\n\n it's  two   blanks\t and tabs. "),
@@ -49,8 +50,21 @@ def test_pieces_equal_library(name):
     encoder = piece_encoder(P.path(name))
     rng = random.Random(5)
     alphabet = [*"abé'sTLlRe1٣ \n\t \x1c\x85İΣς.,%#中é<|>", "<|endoftext|>", "'re", " \n", "  ", "I'LL", "é", " ́"]
-    for text in [t or "" for _, t in TEXTS] + ["".join(rng.choice(alphabet) for _ in range(rng.randrange(30))) for _ in range(3000)]:
-        assert encoder.encode(text) == encoder.whole(text), repr(text)
+    texts = [t or "" for _, t in TEXTS] + ["".join(rng.choice(alphabet) for _ in range(rng.randrange(30))) for _ in range(3000)]
+    for text, ids in zip(texts, encoder.encode_many(pa.array(texts)), strict=True):
+        assert ids.tobytes() == encoder.whole(text), repr(text)
+    assert encoder.encode_many(pa.array([], pa.string())) == [] and [len(x) for x in encoder.encode_many(pa.array(["", "a", ""]).slice(1))] == [1, 0]
+
+
+def test_cache_generations():
+    asked = []
+    cache = Generations(lambda names: asked.extend(names) or [x.encode() for x in names], 3)
+    assert cache(["a", "b", "a"]) == [b"a", b"b", b"a"] and asked == ["a", "b"]
+    assert cache(["c", "d"]) == [b"c", b"d"]
+    assert cache(["a", "e"]) == [b"a", b"e"] and asked == ["a", "b", "c", "d", "e"]  # a moves to the young generation
+    cache(["f", "g"])
+    assert cache(["a", "b"]) == [b"a", b"b"] and asked[5:] == ["f", "g", "b"]  # b had gone
+    assert len(cache.young) + len(cache.old) <= 8
 
 
 def test_token_files(spark, docs, byte_bpe):
