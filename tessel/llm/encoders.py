@@ -9,14 +9,16 @@ import os
 import re
 from array import array
 from collections.abc import Callable
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 
-#: Entries of one generation of a worker's cache of encoded pieces; two generations are held.
-CACHE_ENTRIES = 500_000
+#: Entries of one generation of a worker's cache of encoded pieces, and twice those of its cache of pre-tokens; each
+#: cache holds two generations.
+CACHE_ENTRIES = 450_000
 
 #: Fixed value: the split that the library's ByteLevel pre-tokenizer has built in.
 BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -96,9 +98,9 @@ class PieceEncoder:
         # The classes of these characters never change, and lower case is all that a normalizer does to them; so their
         # pre-tokens can be had without the library's alignment of characters.
         self.lowers = "Lowercase" in [n["type"] for n in (norm or {}).get("normalizers", [])]
-        self.scan = regex.compile(pre["pretokenizers"][0]["pattern"]["Regex"] if self.mode == "drop" else BYTE_LEVEL_PATTERN).findall
-        self.letters = byte_letters()
-        self.tokens = Generations(self._model)
+        self.scan = regex.compile(f"{pre['pretokenizers'][0]['pattern']['Regex']}|\\n" if self.mode == "drop" else BYTE_LEVEL_PATTERN).findall
+        self.letters = {**byte_letters(), 10: "\n"}  # a line feed parts plain pieces
+        self.tokens = Generations(self._model, CACHE_ENTRIES // 2)
         self.first = Generations(functools.partial(self._pieces, blank=""))
         self.rest = Generations(functools.partial(self._pieces, blank=" ")) if self.mode == "keep" else self.first
 
@@ -108,27 +110,36 @@ class PieceEncoder:
     def _model(self, tokens: list[str]) -> list[bytes]:
         return [array("I", [t.id for t in self.model.tokenize(x)]).tobytes() for x in tokens]
 
-    def _parts(self, piece: str, blank: str) -> list[str]:
-        """Pre-tokens in byte-level form; pieces behind the first one had a blank, which was cut off, or begin with a line feed."""
-        text = piece if piece[:1] == "\n" else blank + piece
-        if _PLAIN(piece):
-            text = text.lower() if self.lowers else text
-            form = text.replace(" ", "Ġ") if text.isascii() else None
-            if form and piece.isalpha():
-                return [form]
-            parts = self.scan(text)
-            if form:
-                return [parts[0].replace(" ", "Ġ"), *parts[1:]]
-            return [p.encode().decode("latin-1").translate(self.letters) for p in parts]
-        return [p for p, _ in self.pre.pre_tokenize_str(self.norm.normalize_str(text) if self.norm is not None else text)]
+    def _odd(self, pieces: list[str], blank: str) -> list[list[str]]:
+        """Pre-tokens of each piece, by the library."""
+        texts = [p if p[:1] == "\n" else blank + p for p in pieces]
+        return [[p for p, _ in self.pre.pre_tokenize_str(self.norm.normalize_str(t) if self.norm is not None else t)] for t in texts]
+
+    def _plain(self, pieces: list[str], blank: str) -> list[str]:
+        """Pre-tokens of each piece in byte-level form, a line feed between them."""
+        text = blank + ("\n" + blank).join(pieces)
+        text = "\n".join(self.scan(text.lower() if self.lowers else text))
+        text = text.replace(" ", "Ġ") if text.isascii() else text.encode().decode("latin-1").translate(self.letters)
+        return text.split("\n\n\n")
 
     def _pieces(self, pieces: list[str], blank: str) -> list[bytes]:
+        """Ids of pieces; those behind a text's first one had a blank, which was cut off, or begin with a line feed."""
         collects = gc.isenabled()
         gc.disable()  # many small lists, no cycles: collections would only walk through them
         try:
-            parts = [self._parts(p, blank) for p in pieces]
-            ids = iter(self.tokens([x for own in parts for x in own]))
-            return [next(ids) if len(own) == 1 else b"".join([next(ids) for _ in own]) for own in parts]
+            plain = [p for p in pieces if _PLAIN(p)]
+            odd = pieces if not plain else [p for p in pieces if not _PLAIN(p)] if len(plain) < len(pieces) else []
+            found: dict[str, bytes] = {}
+            if plain:
+                parts = self._plain(plain, blank)
+                ids = self.tokens("\n".join(parts).split("\n"))
+                ends = list(accumulate(x.count("\n") + 1 for x in parts))
+                found = {p: ids[a] if b - a == 1 else b"".join(ids[a:b]) for p, a, b in zip(plain, [0, *ends], ends, strict=False)}
+            if odd:
+                parts = self._odd(odd, blank)
+                ids = iter(self.tokens([x for own in parts for x in own]))
+                found |= {p: b"".join([next(ids) for _ in own]) for p, own in zip(odd, parts, strict=True)}
+            return list(map(found.__getitem__, pieces))
         finally:
             if collects:
                 gc.enable()

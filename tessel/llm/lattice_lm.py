@@ -6,9 +6,11 @@ import functools
 import math
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,6 +39,15 @@ def split_words(text: str) -> list[bytes]:
     return text.encode().translate(_LOWER).split()
 
 
+def batch_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """split_words() of many texts: where each one's words begin and end among all words, all words as places, the distinct words."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))  # at runs of U+0009 to U+000D and the blank, too
+    words = lists.flatten().dictionary_encode()
+    bounds, which = lists.offsets.to_numpy() - lists.offsets[0].as_py(), words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    some = which != pc.index(words.dictionary, "").as_py()  # white space at either end leaves an empty word
+    return np.concatenate(([0], np.cumsum(some)))[bounds], which[some], words.dictionary
+
+
 class Lattice:
     """A vocabulary's pieces as a trie over arrays, walked for many words at once.
 
@@ -106,61 +117,58 @@ class Lattice:
                     break
         return n, out
 
-    def forward(self, words: list[str], log_p: np.ndarray, found: tuple[int, list] | None = None) -> tuple[np.ndarray, list, list[np.ndarray]]:
-        """log of the summed probability of all segmentations up to each character; found holds the words' arcs if known."""
-        n, arcs = found or self.arcs(words)
-        alpha = np.full((len(words), n + 1), -np.inf)
+    def forward(self, words: list[str], weigh, trail: tuple[int, ...] = ()) -> tuple[np.ndarray, list, list[np.ndarray]]:
+        """log of the summed probability of all segmentations up to each character, the arcs, and their weights.
+
+        weigh(rows, pieces, width) gives the log weights of arcs, in trail models at once.
+        """
+        n, arcs = self.arcs(words)
+        alpha = np.full((len(words), n + 1, *trail), -np.inf)
         alpha[:, 0] = 0
         costs = []
         for i, span, rows, pieces, width in arcs:
-            cost = log_p[pieces] * width
+            cost = weigh(rows, pieces, width)
             costs.append(cost)
             alpha[rows, i + span] = np.logaddexp(alpha[rows, i + span], alpha[rows, i] + cost)
         return alpha, arcs, costs
 
-    def ends(self, log_p: np.ndarray) -> float:
-        return float(log_p[self.end])
-
-    def marginals(self, words: list[str], log_p: np.ndarray) -> np.ndarray:
-        """Natural log of the probability of each word."""
-        out = np.zeros(len(words))
-        for where in by_length(words):
-            out[where] = self.forward([words[k] for k in where], log_p)[0][:, -1]
-        return out
-
-    def marginals_of_each(self, words: list[str], log_ps: list[np.ndarray]) -> np.ndarray:
-        """marginals() under several models, a row for each; the words' arcs are looked up once."""
-        out = np.zeros((len(log_ps), len(words)))
+    def marginals(self, words: list[str], log_ps: np.ndarray) -> np.ndarray:
+        """Natural log of the probability of each word, a row for each model."""
+        out, by_piece = np.zeros((len(log_ps), len(words))), np.ascontiguousarray(log_ps.T)
         for where in by_length(words):
-            some = [words[k] for k in where]
-            found = self.arcs(some)
-            for z, log_p in enumerate(log_ps):
-                out[z, where] = self.forward(some, log_p, found)[0][:, -1]
+            weigh = lambda rows, pieces, width: by_piece[pieces] * width[:, None]
+            out[:, where] = self.forward([words[k] for k in where], weigh, (len(log_ps),))[0][:, -1].T
         return out
 
-    def expected(self, words: list[str], counts: np.ndarray, log_p: np.ndarray, whole: float, tokens: int) -> np.ndarray:
-        """How often each piece is expected in all segmentations of the words, and last the occurrences so explained.
+    def expected(self, words: list[str], kinds: np.ndarray, counts: np.ndarray, log_ps: np.ndarray, wholes: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+        """By model: how often each piece is expected in all segmentations of its words, and last the occurrences so explained.
 
-        An occurrence is explained by the arc over the whole word or by pieces, as likely as each is without that
-        occurrence itself; so words seen once are left to the pieces.
+        A row is a word, the model that it teaches and its occurrences there. An occurrence is explained by the arc over
+        the whole word or by pieces, as likely as each is without that occurrence itself; so words seen once are left to
+        the pieces.
         """
-        total = np.zeros(self.size + 3)
+        many, size = len(log_ps), self.size + 3
+        total = np.zeros(many * size)
         for where in by_length(words):
-            alpha, arcs, costs = self.forward([words[k] for k in where], log_p)
-            pieced = (1 - whole) * np.exp(alpha[:, -1])
-            arc = whole * (counts[where] - 1) / max(1, tokens - 1)
+            z = kinds[where]
+            alpha, arcs, costs = self.forward([words[k] for k in where], lambda rows, pieces, width, z=z: log_ps[z[rows], pieces] * width)
+            pieced = (1 - wholes[z]) * np.exp(alpha[:, -1])
+            arc = wholes[z] * (counts[where] - 1) / np.maximum(1, tokens[z] - 1)
             own = counts[where] * pieced / np.maximum(pieced + arc, 1e-300)
-            total[-1] += own.sum()
+            total[size - 1 :: size] += np.bincount(z, own, many)
             beta = np.full_like(alpha, -np.inf)
             beta[:, -1] = 0
+            where_to, shares = [], []
             for (i, span, rows, pieces, width), cost in zip(reversed(arcs), reversed(costs), strict=True):
                 beta[rows, i] = np.logaddexp(beta[rows, i], beta[rows, i + span] + cost)
                 share = np.exp(alpha[rows, i] + cost + beta[rows, i + span] - alpha[rows, -1]) * own[rows] * width
-                total += np.bincount(pieces, share, self.size + 3)
-        return total
+                where_to.append(z[rows] * size + pieces)
+                shares.append(share)
+            total += np.bincount(np.concatenate(where_to), np.concatenate(shares), many * size)
+        return total.reshape(many, size)
 
 
-def gathered(batches: Iterator[pa.RecordBatch], rows: int = 16_384) -> Iterator[pa.Table]:
+def gathered(batches: Iterator[pa.RecordBatch], rows: int = 65_536) -> Iterator[pa.Table]:
     """Record batches put together to tables of about so many rows: the lattice walks many words of a length at once."""
     held: list[pa.RecordBatch] = []
     for batch in batches:
@@ -207,51 +215,47 @@ def with_kind(rows: DataFrame, languages: int) -> tuple[DataFrame, list[int]]:
 
 def word_counts(rows: DataFrame, kinds: int) -> DataFrame:
     """Rows (word, c0, c1, ..., n): occurrences in training texts by model and in all texts; each task adds up its own before the shuffle."""
-    names = [*(f"c{z}" for z in range(kinds)), "n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counters: list[Counter] = [Counter() for _ in range(kinds + 1)]  # the last one: held-out texts
+        counters: dict[int, Counter] = {kind: Counter() for kind in range(-1, kinds)}  # -1: held-out texts
 
-        def flush() -> pa.RecordBatch:
-            words = list(set().union(*counters))
-            by = np.array([[counter[w] for w in words] for counter in counters], np.int64)
-            by[-1] = by.sum(0)
-            for counter in counters:
-                counter.clear()
-            return pa.RecordBatch.from_arrays([pa.array([w.decode() for w in words], pa.string()), *map(pa.array, by)], ["word", *names])
+        def flush() -> Iterator[pa.RecordBatch]:
+            for kind, counter in counters.items():
+                if counter:
+                    words = pa.array(list(counter), pa.binary()).cast(pa.string())
+                    yield pa.RecordBatch.from_arrays([words, pa.array(np.full(len(words), kind, np.int8)), pa.array(list(counter.values()), pa.int64())], ["word", "kind", "n"])
+                    counter.clear()
 
         for batch in batches:
             for kind, text in zip(batch.column("kind").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 counters[kind].update(split_words(text))
-            if sum(map(len, counters)) >= HELD_WORDS:
-                yield flush()
-        if any(counters):
-            yield flush()
+            if sum(map(len, counters.values())) >= HELD_WORDS:
+                yield from flush()
+        yield from flush()
 
-    schema = "word string, " + ", ".join(f"{c} long" for c in names)
-    return rows.select("kind", "text").mapInArrow(run, schema).groupBy("word").agg(*(F.sum(c).alias(c) for c in names))
+    of = lambda z: F.coalesce(F.sum(F.when(F.col("kind") == z, F.col("n"))), F.lit(0)).alias(f"c{z}")
+    counted = rows.select(F.col("kind").cast("byte").alias("kind"), "text").mapInArrow(run, "word string, kind byte, n long")
+    return counted.groupBy("word").agg(*map(of, range(kinds)), F.sum("n").alias("n"))
 
 
-def learn_pieces(words: DataFrame, tokens: list[int], documents: list[int], vocabulary: str, rounds: int) -> tuple[list[np.ndarray], list[float]]:
+def learn_pieces(words: DataFrame, tokens: list[int], documents: list[int], vocabulary: str, rounds: int) -> tuple[np.ndarray, np.ndarray]:
     """By model: natural log probabilities of all pieces, and the share of whole-word arcs, from expected counts over all training words.
 
     Only sums by model and piece come to the driver: as many numbers as models times pieces, whatever the corpus.
     """
     unit, kinds = lattice(vocabulary), len(tokens)
-    unit_size = unit.size
-    log_ps, wholes = [unit.first_scores()] * kinds, [WHOLE if n else 0.0 for n in tokens]
+    log_ps, wholes = np.array([unit.first_scores()] * kinds), np.array([WHOLE if n else 0.0 for n in tokens])
     for _ in range(rounds):
 
         def run(batches: Iterator[pa.RecordBatch], log_ps=log_ps, wholes=wholes) -> Iterator[pa.RecordBatch]:
-            own, totals = lattice(vocabulary), np.zeros((kinds, unit_size + 3))
+            own, totals = lattice(vocabulary), 0.0
             for batch in gathered(batches):
-                column = np.array(batch.column("word").to_pylist(), object)
-                for z in range(kinds):
-                    c = batch.column(f"c{z}").to_numpy()
-                    if (c > 0).any():
-                        totals[z] += own.expected(list(column[c > 0]), c[c > 0].astype(float), log_ps[z], wholes[z], tokens[z])
-            z, k = np.nonzero(totals)
-            yield pa.RecordBatch.from_arrays([pa.array(z), pa.array(k), pa.array(totals[z, k])], ["kind", "piece", "n"])
+                c = np.array([batch.column(f"c{z}").to_numpy() for z in range(kinds)])
+                z, k = np.nonzero(c)
+                words = batch.column("word").to_pylist()
+                totals = totals + own.expected([words[j] for j in k], z, c[z, k].astype(float), log_ps, wholes, np.array(tokens))
+            z, k = np.nonzero(np.atleast_2d(totals))
+            yield pa.RecordBatch.from_arrays([pa.array(z), pa.array(k), pa.array(np.atleast_2d(totals)[z, k])], ["kind", "piece", "n"])
 
         sums = words.drop("n").mapInArrow(run, "kind long, piece long, n double").groupBy("kind", "piece").agg(F.sum("n").alias("n")).toArrow()
         counts = np.zeros((kinds, unit.size + 3))
@@ -260,13 +264,24 @@ def learn_pieces(words: DataFrame, tokens: list[int], documents: list[int], voca
         counts[:, unit.end] += pieced  # each word ends once: what follows its last piece
         prior = counts.sum(0) + SMOOTH
         counts = counts + PRIOR * prior / prior.sum()
-        log_ps = list(np.log(counts / counts.sum(1, keepdims=True)))
-        for log_p in log_ps:
-            log_p[unit.byte] -= math.log(256)
-        wholes = [min(1 - 1e-6, max(1 - p / n, d / n)) if n else 0.0 for p, n, d in zip(pieced.tolist(), tokens, documents, strict=True)]
+        log_ps = np.log(counts / counts.sum(1, keepdims=True))
+        log_ps[:, unit.byte] -= math.log(256)
+        wholes = np.array([min(1 - 1e-6, max(1 - p / n, d / n)) if n else 0.0 for p, n, d in zip(pieced.tolist(), tokens, documents, strict=True)])
     return log_ps, wholes
 
 
+def most_frequent(words: DataFrame, many: int) -> DataFrame:
+    """The rows with the greatest n, many at most: those above a cutoff on a logarithmic scale of some hundred steps.
+
+    A histogram finds the cutoff, so no task sorts or gathers more than what is returned.
+    """
+    step = F.floor(F.log2("n") * 16).cast("int")
+    counts = words.groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect()
+    upto = accumulate(r["count"] for r in counts)
+    kept = [r["step"] for r, n in zip(counts, upto, strict=True) if n <= many]
+    return words.where(step >= kept[-1]) if kept else words.limit(0)
+
+
 def score(docs: DataFrame, vocabulary: str, rounds: int = ROUNDS, frequent: int = FREQUENT, languages: int = LANGUAGES) -> DataFrame:
     """Per row of docs (doc_id, text, and lang if there is one): doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
@@ -295,7 +310,7 @@ def score(docs: DataFrame, vocabulary: str, rounds: int = ROUNDS, frequent: int
 
     def arc(z: int, own, every):
         """Probability of a whole-word arc in model z, given the word's occurrences there and in all training texts."""
-        return wholes[z] * (OWN * own / max(1, tokens[z]) + (1 - OWN) * every / max(1, total))
+        return float(wholes[z]) * (OWN * own / max(1, tokens[z]) + (1 - OWN) * every / max(1, total))
 
     if train_docs:
         stops = [math.log10(arc(z, sizes[z], train_docs)) + math.log10(sizes[z] / train_docs) for z in kinds]
@@ -312,37 +327,33 @@ def score(docs: DataFrame, vocabulary: str, rounds: int = ROUNDS, frequent: int
         for batch in gathered(batches):
             c = [batch.column(f"c{z}").to_numpy() for z in kinds]
             every = sum(c)
-            lms = own.marginals_of_each(batch.column("word").to_pylist(), log_ps)
+            lms = own.marginals(batch.column("word").to_pylist(), log_ps)
             for z in kinds:
                 with np.errstate(divide="ignore"):
-                    lms[z] = np.logaddexp(lms[z] + own.ends(log_ps[z]) + math.log1p(-wholes[z]), np.log(arc(z, c[z], every))) / math.log(10)
+                    lms[z] = np.logaddexp(lms[z] + log_ps[z][own.end] + math.log1p(-wholes[z]), np.log(arc(z, c[z], every))) / math.log(10)
             columns = [pa.array(np.log10(every + 0.5)), pa.array((every > 0).astype(float)), *map(pa.array, lms)]
             yield from pa.table([batch.column("word"), *columns, batch.column("n")], ["word", *values, "n"]).to_batches()
 
     scored = stage(counts.mapInArrow(weigh, f"word string, {kept}, n long"), "scores")
-    top = scored.orderBy(F.desc("n"), "word").limit(frequent).toArrow()
-    places = {w.encode(): k for k, w in enumerate(top["word"].to_pylist())}
-    shared = docs.sparkSession.sparkContext.broadcast((places, np.array([top[c].to_numpy() for c in values]).T))
-    fields = [("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), *((c, pa.float64()) for c in values), ("rest", pa.list_(pa.string())), ("times", pa.list_(pa.int32()))]
+    top = most_frequent(scored, frequent).toArrow()
+    places = {w: k for k, w in enumerate(top["word"].to_pylist())}
+    weights = np.array([np.append(top[c].to_numpy(), 0.0) for c in values])  # the last place is that of all other words
+    shared = docs.sparkSession.sparkContext.broadcast((places, weights))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, weights = shared.value
         for batch in batches:
-            out = []
-            for doc_id, held, text in zip(*(batch.column(k).to_pylist() for k in ("doc_id", "held_out", "text")), strict=True):
-                words = split_words(text)
-                at, often, rest, times = [], [], [], []
-                for w, k in Counter(words).items():
-                    if (place := known.get(w)) is not None:
-                        at.append(place)
-                        often.append(k)
-                    else:
-                        rest.append(w.decode())
-                        times.append(k)
-                sums = end + np.array(often, float) @ weights[at] if at else end
-                out.append((doc_id, held, len(words) + 1, *sums.tolist(), rest, times))
-            columns = list(zip(*out, strict=True)) if out else [()] * len(fields)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, fields, strict=True)], [name for name, _ in fields])
+            bounds, which, names = batch_words(batch.column("text"))
+            sizes, many = np.diff(bounds), batch.num_rows
+            owner = np.repeat(np.arange(many), sizes)
+            place = np.fromiter((known.get(w, len(known)) for w in names.to_pylist()), np.int64, len(names))[which]
+            sums = [np.bincount(owner, column[place], many) + e for column, e in zip(weights, end, strict=True)]
+            rare = place == len(known)
+            pairs, times = np.unique(owner[rare] * max(1, len(names)) + which[rare], return_counts=True)
+            whose, what = np.divmod(pairs, max(1, len(names)))
+            cuts = pa.array(np.searchsorted(whose, np.arange(many + 1)).astype(np.int32))
+            counts = [pa.ListArray.from_arrays(cuts, x) for x in (names.take(pa.array(what)), pa.array(times.astype(np.int32)))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(sizes.astype(np.int64) + 1), *map(pa.array, sums), *counts], ["doc_id", "held_out", "n_tokens", *values, "rest", "times"])
 
     parts = rows.drop("kind").mapInArrow(read, f"doc_id long, held_out boolean, n_tokens long, {kept}, rest array<string>, times array<int>")
     parts = stage(parts.withColumn("uid", F.monotonically_increasing_id()), "parts")

@@ -5,6 +5,7 @@ from collections import Counter
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers as P
 import pytest
 
@@ -120,7 +121,9 @@ def test_lattice_sums_all_segmentations():
     pieces = {sp.id_to_piece(k): k for k in range(sp.get_piece_size()) if not (sp.is_control(k) or sp.is_byte(k) or sp.is_unknown(k))}
     log_p = unit.first_scores()
     words = ["the", "anthem", "étreaux", "a", "zq%%", "the"]
-    for word, got in zip(words, unit.marginals(words, log_p), strict=True):
+    both = unit.marginals(words, np.array([log_p, log_p - 1.0]))
+    assert (both[1] < both[0]).all()
+    for word, got in zip(words, both[0], strict=True):
         text, total = "▁" + word, 0.0
         for n in range(len(text)):
             for cuts in combinations(range(1, len(text)), n):
@@ -128,10 +131,26 @@ def test_lattice_sums_all_segmentations():
                 if all(p in pieces for p in parts):
                     total += math.exp(sum(log_p[pieces[p]] for p in parts))
         assert got == pytest.approx(math.log(total), abs=1e-9)
-    e = unit.expected(words, np.ones(len(words)), log_p, 0.0, 100)
-    assert e[-1] == pytest.approx(len(words))
+    rows = lambda *z: (np.array(z), np.ones(len(words)), np.array([log_p] * 2), np.zeros(2), np.array([100, 100]))
+    e = unit.expected(words, *rows(0, 0, 1, 1, 1, 0))
+    assert e[:, -1].tolist() == pytest.approx([3, 3])
+    parts = [unit.expected([w for w, k in zip(words, (0, 0, 1, 1, 1, 0)) if k == z], np.zeros(3, int), np.ones(3), np.array([log_p]), np.zeros(1), np.array([100]))[0] for z in (0, 1)]
+    assert np.allclose(e, parts)
 
 
+def test_batch_words():
+    texts = ["", " ", "\ta  B\x1cc\x85 \xa0é\r\n", "İ ÀB", "x"]
+    bounds, which, names = lattice_lm.batch_words(pa.array(["cut off", *texts]).slice(1))
+    names = names.to_pylist()
+    for k, text in enumerate(texts):
+        assert [names[j].encode() for j in which[bounds[k] : bounds[k + 1]]] == lattice_lm.split_words(text)
+
+
+def test_most_frequent(spark):
+    rows = spark.createDataFrame([(f"w{k}", n) for k, n in enumerate([1] * 50 + [2] * 9 + [3, 700, 10**9])], "word string, n long")
+    got = lambda many: sorted(r["n"] for r in lattice_lm.most_frequent(rows, many).collect())
+    assert (got(0), got(1), got(3), got(11), got(12), got(10**6)[:1]) == ([], [10**9], [3, 700, 10**9], [3, 700, 10**9], [*[2] * 9, 3, 700, 10**9], [1])
+
 def test_lm(spark):
     texts = ["the cat sat", "The CAT sat on a mat", None, "", "a\x0bb c \x1c zebra", "the " * 50, "日本 🙂 unseen"] * 3
     rows = [(k, t, "x") for k, t in enumerate(texts)] + [(3, texts[3], "x"), (None, "the cat", "x")]
@@ -156,6 +175,97 @@ def test_lm(spark):
     assert all(r["score"] == pytest.approx(other[r["doc_id"]]) for r in got)
 
 
+def plain_lm(rows, path, rounds):
+    """log10 probability of each text by sums over dictionaries, one word and one segmentation step at a time."""
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    pieces = {sp.id_to_piece(k): k for k in range(sp.get_piece_size()) if not (sp.is_control(k) or sp.is_byte(k) or sp.is_unknown(k) or sp.is_unused(k)) and "▁" not in sp.id_to_piece(k)[1:]}
+    size = sp.get_piece_size()
+    first = [1 / 100.0] * (size + 2)
+    for k in pieces.values():
+        first[k] = 1 / (max(0.0, -sp.get_score(k)) + 100.0)
+
+    def steps(word):
+        text = "▁" + word
+        for i in range(len(text)):
+            for j in range(i + 1, len(text) + 1):
+                if text[i:j] in pieces:
+                    yield i, j, pieces[text[i:j]], 1
+                elif j == i + 1:
+                    yield i, j, size, len(text[i].encode())
+
+    def sums(word, p):
+        """Probability up to each character, and from each one on."""
+        n = len(word) + 1
+        alpha, beta = [1.0] + [0.0] * n, [0.0] * n + [1.0]
+        for i, j, k, w in steps(word):
+            alpha[j] += alpha[i] * p[k] ** w
+        for i, j, k, w in sorted(steps(word), reverse=True):
+            beta[i] += beta[j] * p[k] ** w
+        return alpha, beta
+
+    words_of = lambda t: [w.decode() for w in lattice_lm.split_words(t or "")]
+    taught = [(t, z) for k, t, z in rows if not (k is not None and zlib.crc32(str(k).encode()) % 5 == 1)]
+    by_lang = Counter(z for _, z in taught if z is not None)
+    top = sorted(by_lang, key=lambda z: (-by_lang[z], z))[: lattice_lm.LANGUAGES]
+    kind = lambda z: top.index(z) if z in top else len(top)
+    kinds = sorted({kind(z) for _, z in taught})
+    docs = [sum(kind(z) == q for _, z in taught) for q in kinds]
+    counts = [Counter(w for t, z in taught if kind(z) == q for w in words_of(t)) for q in kinds]
+    tokens = [sum(c.values()) + d for c, d in zip(counts, docs, strict=True)]
+    ps = [[x / sum(first) for x in first]] * len(kinds)
+    wholes = [lattice_lm.WHOLE] * len(kinds)
+    for _ in range(rounds):
+        totals = []
+        for q in kinds:
+            total, pieced_sum = [0.0] * (size + 2), 0.0
+            for word, c in counts[q].items():
+                alpha, beta = sums(word, ps[q])
+                pieced, arc = (1 - wholes[q]) * alpha[-1], wholes[q] * (c - 1) / max(1, tokens[q] - 1)
+                own = c * pieced / (pieced + arc)
+                pieced_sum += own
+                for i, j, k, w in steps(word):
+                    total[k] += own * w * alpha[i] * ps[q][k] ** w * beta[j] / alpha[-1]
+            total[size + 1] += pieced_sum
+            totals.append((total, pieced_sum))
+        prior = [sum(t[k] for t, _ in totals) + lattice_lm.SMOOTH for k in range(size + 2)]
+        ps = []
+        for total, _ in totals:
+            scale = lattice_lm.PRIOR / sum(prior)
+            mixed = [n + scale * p for n, p in zip(total, prior, strict=True)]
+            whole = sum(mixed)
+            p = [x / whole for x in mixed]
+            p[size] /= 256
+            ps.append(p)
+        wholes = [min(1 - 1e-6, max(1 - t / n, d / n)) for (_, t), n, d in zip(totals, tokens, docs, strict=True)]
+    every = sum(counts, Counter())
+    out = []
+    for _, t, _ in rows:
+        logs = []
+        for q in kinds:
+            arc = lambda own, all_: wholes[q] * (lattice_lm.OWN * own / tokens[q] + (1 - lattice_lm.OWN) * all_ / sum(tokens))  # noqa: B023, E731
+            log = math.log10(docs[q] / sum(docs)) + math.log10(arc(docs[q], sum(docs)))
+            for w in words_of(t):
+                log += math.log10(sums(w, ps[q])[0][-1] * ps[q][size + 1] * (1 - wholes[q]) + arc(counts[q][w], every[w]))
+            logs.append(log)
+        out.append(max(logs) + math.log10(sum(10 ** (x - max(logs)) for x in logs)))
+    return out
+
+
+def test_lm_equals_plain_sums(spark):
+    rng = np.random.default_rng(9)
+    syllables = ["the", "que", "sch", "é", "ing", "zz", "日", "o", "-", "x1"]
+    vocabulary = ["".join(rng.choice(syllables, rng.integers(1, 4))) for _ in range(40)]
+    rows = [(k, " ".join(rng.choice(vocabulary, rng.integers(0, 30))), [None, "a", "b"][k % 3]) for k in range(40)] + [(77, None, "a"), (None, "the que", "b")]
+    docs = spark.createDataFrame([(*r, j) for j, r in enumerate(rows)], "doc_id long, text string, lang string, score int")
+    path = P.path("piece_bpe_32k.model")
+    want = plain_lm(rows, path, 2)
+    for frequent in (3, 1000):
+        got = lattice_lm.score(docs, path, rounds=2, frequent=frequent).collect()
+        assert sorted(r["score"] for r in got) == pytest.approx(sorted(want), rel=1e-9)
+
+
 def test_lm_of_languages(spark):
     """A model for each frequent language: better on texts of a language, and the text's own lang doesn't matter."""
     rng = np.random.default_rng(5)
