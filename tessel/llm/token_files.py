@@ -50,7 +50,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, s
         rows.repartitionByRange(*order)
         .sortWithinPartitions(*order)
         .mapInArrow(encode, FILE_SCHEMA)
-        .write.option("compression", "zstd")
+        .write.option("compression", "lz4")
         .option("orc.stripe.size", stripe_bytes)
         .option("orc.create.index", "true")
         .option("orc.row.index.stride", "1000")
