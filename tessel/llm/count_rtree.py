@@ -10,14 +10,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessel.llm.common import components, small_batches, stage, table
-from tessel.llm.lattice_lm import split_words
+from tessel.llm.lattice_lm import batch_words, split_words
 
 #: Coordinates of the points that bound an overlap: FINE ones for documents of LARGE shingles or more, as the bound grows
 #: blunt when a group holds many; they fold into GROUPS. COARSE is the size of the table of group frequencies.
 GROUPS, FINE, LARGE, COARSE = 128, 1024, 1000, 1 << 16
 #: Points of one leaf, and points of a cell that one task compares at once.
 LEAF, CELL = 32, 1024
-_M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
+_M1, _M2, _SPREAD = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), np.uint64(0x9E3779B97F4A7C15)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -27,33 +27,38 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class Shingler:
-    """Sorted distinct 64-bit hashes of the k-word shingles of a text, word hashes kept in a bounded cache."""
+    """Distinct 64-bit hashes of the k-word shingles of each of many texts, in ascending order."""
 
     def __init__(self, k: int):
         self.k = k
-        self.cache: dict[bytes, int] = {}
 
-    def __call__(self, text: str | None) -> np.ndarray:
-        words = split_words(text) if text else []
-        if not words:
-            return np.zeros(0, np.uint64)
-        cache = self.cache
-        if len(cache) > 300_000:
-            cache.clear()
-        for w in set(words).difference(cache):
-            cache[w] = xxh64(w)
-        h = np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
-        n = max(1, len(h) - self.k + 1)
-        out = np.full(n, len(h) if len(h) < self.k else self.k, np.uint64)
-        for j in range(min(self.k, len(h))):
-            out = mix(out * np.uint64(0x9E3779B97F4A7C15) + h[j : j + n])
-        return np.unique(out)
-
-
-def xxh64(word: bytes) -> int:
-    import xxhash
-
-    return xxhash.xxh64_intdigest(word)
+    def windows(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of all windows, repeated ones too, and where each text's begin and end among them."""
+        import xxhash
+
+        bounds, which, names, _ = batch_words(texts)
+        h = np.fromiter(map(xxhash.xxh64_intdigest, names), np.uint64, len(names))[which]
+        sizes, k = np.diff(bounds), self.k
+        n = np.where(sizes >= k, sizes - k + 1, np.minimum(sizes, 1))
+        ends = np.cumsum(n)
+        out = np.zeros(int(ends[-1]) if len(n) else 0, np.uint64)
+        long = np.repeat(sizes >= k, n)
+        if long.any():
+            first = (np.arange(len(out)) - np.repeat(ends - n, n) + np.repeat(bounds[:-1], n))[long]
+            every = np.full(max(0, len(h) - k + 1), k, np.uint64)
+            for j in range(k):
+                every = mix(every * _SPREAD + h[j : j + len(every)])
+            out[long] = every[first]
+        for t in np.flatnonzero((sizes > 0) & (sizes < k)):  # all words as one shingle
+            one = np.full(1, sizes[t], np.uint64)
+            for x in h[bounds[t] : bounds[t + 1]]:
+                one = mix(one * _SPREAD + x)
+            out[ends[t] - 1] = one[0]
+        return out, np.concatenate(([0], ends))
+
+    def __call__(self, texts: pa.Array) -> list[np.ndarray]:
+        hashes, bounds = self.windows(texts)
+        return [np.unique(hashes[a:b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
 
 
 def least_overlap(sizes: int, percent: int) -> int:
@@ -61,9 +66,12 @@ def least_overlap(sizes: int, percent: int) -> int:
     return -(-percent * sizes // (100 + percent))
 
 
-def order(hashes: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """The hashes in one order for all documents: groups of everyday frequency first, then ever more frequent ones."""
-    return hashes[np.lexsort((hashes, rank[(hashes >> np.uint64(48)).astype(np.int64)]))]
+def first_cells(hashes: np.ndarray, rank: np.ndarray, many: int) -> np.ndarray:
+    """Cells of the first hashes in one order for all documents: groups of everyday frequency come first, ever more frequent ones later."""
+    key = rank[(hashes >> np.uint64(48)).astype(np.int64)].astype(np.uint64) << np.uint64(58) | hashes >> np.uint64(6)
+    if many < len(key):
+        key = np.partition(key, many - 1)[:many]
+    return (key >> np.uint64(10) & np.uint64(0xFFFFFFFF)).astype("<u4")
 
 
 def point(hashes: np.ndarray) -> np.ndarray:
@@ -122,7 +130,7 @@ def tree_pairs(n: np.ndarray, x: np.ndarray, comp: np.ndarray, own: np.ndarray,
 
 
 def group_ranks(docs: DataFrame, k: int) -> np.ndarray:
-    """For each of COARSE hash groups, how far its shingles are from the everyday frequency (0), in powers of two.
+    """For each of COARSE hash groups, how far its shingles' occurrences are from the everyday number (0), in powers of two.
 
     All documents are counted; a fixed number of sums reaches the driver.
     """
@@ -130,12 +138,11 @@ def group_ranks(docs: DataFrame, k: int) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle, total = Shingler(k), np.zeros(COARSE, np.int64)
         for batch in batches:
-            for text in batch.column("text").to_pylist():
-                total += np.bincount((shingle(text) >> np.uint64(48)).astype(np.int64), minlength=COARSE)
+            total += np.bincount((shingle.windows(batch.column("text"))[0] >> np.uint64(48)).astype(np.int64), minlength=COARSE)
         found = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(total[found])], ["g", "n"])
 
-    rows = docs.select("text").mapInArrow(run, "g long, n long").groupBy("g").agg(F.sum("n").alias("n")).toPandas()
+    rows = docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "g long, n long").groupBy("g").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros(COARSE)
     counts[rows["g"].to_numpy(np.int64)] = rows["n"].to_numpy(np.float64)
     everyday = max(1.0, np.median(counts[counts > 0]) if (counts > 0).any() else 1.0)
@@ -237,18 +244,17 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFr
         shingle, levels = Shingler(k), rank.value
         for batch in batches:
             sizes, signs, points, cells = [], [], [], []
-            for text in batch.column("text").to_pylist():
-                h = shingle(text)
+            for h in shingle(batch.column("text")):
                 n = len(h)
                 sizes.append(n)
                 signs.append(hashlib.blake2b(h.tobytes(), digest_size=16).digest() if n else None)
                 points.append(point(h).tobytes())
-                prefix = order(h, levels)[: n - -(-percent * n // 100) + 1] if n else h
-                cells.append((prefix >> np.uint64(16)).astype("<u4"))
+                cells.append(first_cells(h, levels, n - -(-percent * n // 100) + 1) if n else h.astype("<u4"))
             lists = pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum([len(c) for c in cells]))).astype(np.int32), pa.array(np.concatenate([*cells, np.zeros(0, np.uint32)]).astype(np.uint32).view(np.int32)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(signs, pa.binary()), pa.array(points, pa.binary()), lists], ["doc_id", "n", "sign", "point", "cells"])
 
-    seen = stage(rows.mapInArrow(read, "doc_id long, n long, sign binary, point binary, cells array<int>"), "shingles")
+    filled = rows.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    seen = stage(filled.mapInArrow(read, "doc_id long, n long, sign binary, point binary, cells array<int>"), "shingles")
     sets = seen.where("n > 0 and doc_id is not null")
     reps = stage(sets.groupBy("sign").agg(F.min("doc_id").alias("rep"), F.count("*").alias("m")), "reps")
     chosen = sets.join(reps.select("sign", F.col("rep").alias("doc_id")), ["sign", "doc_id"], "left_semi")
@@ -271,7 +277,8 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFr
     banded = left.where(F.col("m") > LEAF).drop("m").withColumn("band", band).withColumn("own", F.lit(True))
     banded = banded.unionByName(banded.withColumn("band", F.col("band") - 1).withColumn("own", F.lit(False)))
     counted = banded.groupBy("cell", "band").agg(F.count("*").alias("m"), F.min("comp").alias("low"), F.max("comp").alias("high"), F.max("own").alias("any"))
-    counted = counted.where("low <> high and any").select("cell", "band", "m")
+    # written first: where it is small, it goes to the entries, and a hot cell's need no shuffle
+    counted = stage(counted.where("low <> high and any").select("cell", "band", "m"), "sizes")
     banded = stage(banded.join(counted, ["cell", "band"]), "bands")
     direct = direct.union(leaf_pairs(banded.where(F.col("m") <= LEAF), ["cell", "band"], percent))
     split = banded.where(F.col("m") > LEAF).withColumn("parts", F.ceil(F.col("m") / CELL).cast("int"))

@@ -39,13 +39,14 @@ def split_words(text: str) -> list[bytes]:
     return text.encode().translate(_LOWER).split()
 
 
-def batch_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
-    """split_words() of many texts: where each one's words begin and end among all words, all words as places, the distinct words."""
+def batch_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str], pa.Array]:
+    """split_words() of many texts: where each one's words begin and end among all words, all words as places, the distinct words twice."""
     lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))  # at runs of U+0009 to U+000D and the blank, too
     words = lists.flatten().dictionary_encode()
     bounds, which = lists.offsets.to_numpy() - lists.offsets[0].as_py(), words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
     some = which != pc.index(words.dictionary, "").as_py()  # white space at either end leaves an empty word
-    return np.concatenate(([0], np.cumsum(some)))[bounds], which[some], words.dictionary
+    names = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words.dictionary)], pa.int32()), words.dictionary), " ")[0].as_py().split(" ")
+    return np.concatenate(([0], np.cumsum(some)))[bounds], which[some], names[: len(words.dictionary)], words.dictionary
 
 
 class Lattice:
@@ -343,16 +344,16 @@ def score(docs: DataFrame, vocabulary: str, rounds: int = ROUNDS, frequent: int
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, weights = shared.value
         for batch in batches:
-            bounds, which, names = batch_words(batch.column("text"))
+            bounds, which, names, distinct = batch_words(batch.column("text"))
             sizes, many = np.diff(bounds), batch.num_rows
             owner = np.repeat(np.arange(many), sizes)
-            place = np.fromiter((known.get(w, len(known)) for w in names.to_pylist()), np.int64, len(names))[which]
+            place = np.fromiter((known.get(w, len(known)) for w in names), np.int64, len(names))[which]
             sums = [np.bincount(owner, column[place], many) + e for column, e in zip(weights, end, strict=True)]
             rare = place == len(known)
             pairs, times = np.unique(owner[rare] * max(1, len(names)) + which[rare], return_counts=True)
             whose, what = np.divmod(pairs, max(1, len(names)))
             cuts = pa.array(np.searchsorted(whose, np.arange(many + 1)).astype(np.int32))
-            counts = [pa.ListArray.from_arrays(cuts, x) for x in (names.take(pa.array(what)), pa.array(times.astype(np.int32)))]
+            counts = [pa.ListArray.from_arrays(cuts, x) for x in (distinct.take(pa.array(what)), pa.array(times.astype(np.int32)))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(sizes.astype(np.int64) + 1), *map(pa.array, sums), *counts], ["doc_id", "held_out", "n_tokens", *values, "rest", "times"])
 
     parts = rows.drop("kind").mapInArrow(read, f"doc_id long, held_out boolean, n_tokens long, {kept}, rest array<string>, times array<int>")

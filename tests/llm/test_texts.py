@@ -140,8 +140,8 @@ def test_lattice_sums_all_segmentations():
 
 def test_batch_words():
     texts = ["", " ", "\ta  B\x1cc\x85 \xa0é\r\n", "İ ÀB", "x"]
-    bounds, which, names = lattice_lm.batch_words(pa.array(["cut off", *texts]).slice(1))
-    names = names.to_pylist()
+    bounds, which, names, distinct = lattice_lm.batch_words(pa.array(["cut off", *texts]).slice(1))
+    assert names == distinct.to_pylist() and len(lattice_lm.batch_words(pa.array([], pa.string()))[2]) == 0
     for k, text in enumerate(texts):
         assert [names[j].encode() for j in which[bounds[k] : bounds[k + 1]]] == lattice_lm.split_words(text)
 
@@ -498,6 +498,21 @@ def test_jaccard(spark):
     assert count_rtree.jaccard_components(frame.limit(0)).count() == 0
 
 
+def test_shingles():
+    texts = ["", " ", "a", "a B", "a b c d", "A b\tc d e", "x " * 50, "a b c d e f g h i " * 3, "é 日 b c d"]
+    got = count_rtree.Shingler(4)(pa.array(["none", *texts]).slice(1))
+    assert [len(h) for h in got] == [len(count_rtree.shingle_words(t, 4)) for t in texts]
+    assert all((np.diff(h.astype(object)) > 0).all() for h in got)
+    for (i, s), (j, t) in combinations(enumerate(texts), 2):
+        assert len(np.intersect1d(got[i], got[j])) == len(count_rtree.shingle_words(s, 4) & count_rtree.shingle_words(t, 4))
+    assert count_rtree.Shingler(4)(pa.array([], pa.string())) == []
+    rank = np.arange(count_rtree.COARSE) % 7
+    for h in got:
+        key = sorted(h.tolist(), key=lambda x: (rank[x >> 48], x))
+        for p in range(1, len(h) + 1):
+            assert sorted(count_rtree.first_cells(h, rank, p)) == sorted(x >> 16 & 0xFFFFFFFF for x in key[:p])
+
+
 def test_tree_keeps_all_links():
     rng = np.random.default_rng(8)
     sets = [np.unique(rng.integers(0, 2**63, rng.integers(30, 60)).astype(np.uint64)) for _ in range(60)]
