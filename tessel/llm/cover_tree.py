@@ -6,13 +6,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessel.llm.common import components, small_batches, stage, table
 
-#: Vectors in a block at most, about; pivots are drawn from so many vectors and are so many at most.
-BLOCK, SAMPLE, PIVOTS = 1024, 4096, 256
+#: Vectors in a block at most, about, and blocks in a group; pivots are drawn from so many vectors and are so many at most.
+BLOCK, GROUP, SAMPLE, PIVOTS = 1024, 8, 4096, 256
 #: Slack on bounds from distances, above what sqrt(2 - 2 * dot) rounds by (1.5e-8 for one last bit of dot, 1e-6 for the
 #: bound on 4096 terms); nodes within it are opened, and decisions on pairs have none.
 SLACK = 1e-6
@@ -96,47 +96,60 @@ def dual_traverse(a: CoverTree, b: CoverTree, cosine: float) -> Iterator[tuple[n
                 stack.append((left[i], right[j]))
 
 
-def link_blocks(a: CoverTree, wa: np.ndarray, b: CoverTree, wb: np.ndarray, same: bool, cosine: float) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
-    """Links of each row of a and of b (counting how many vectors a row stands for), and edges that span what is linked."""
-    na, nb = np.zeros(len(wa), np.int64), np.zeros(len(wb), np.int64)
-    shift = 0 if same else len(wa)
-    parent = list(range(len(wa) + (0 if same else len(wb))))
+class Links:
+    """Counts of links of the rows of several blocks, and edges that span what is linked: none between rows joined already."""
 
-    def find(k: int) -> int:
-        while parent[k] != k:
-            parent[k] = parent[parent[k]]
-            k = parent[k]
-        return k
+    def __init__(self, weights: list[np.ndarray]):
+        self.weights, self.counts = weights, [np.zeros(len(w), np.int64) for w in weights]
+        self.first = np.cumsum([0, *map(len, weights)])[:-1].tolist()
+        self.parent = list(range(sum(map(len, weights))))
+        self.edges: list[tuple[int, int]] = []
 
-    edges: list[tuple[int, int]] = []
+    def find(self, k: int) -> int:
+        while self.parent[k] != k:
+            self.parent[k] = self.parent[self.parent[k]]
+            k = self.parent[k]
+        return k
 
-    def tie(i: int, j: int) -> None:
-        ri, rj = find(i), find(j + shift)
+    def tie(self, i: int, j: int) -> None:
+        ri, rj = self.find(i), self.find(j)
         if ri != rj:
-            parent[ri] = rj
-            edges.append((i, j))
+            self.parent[ri] = rj
+            self.edges.append((i, j))
 
-    for p, q, full in dual_traverse(a, b, cosine):
+    def add(self, a: int, b: int, p: np.ndarray, q: np.ndarray, full: bool) -> None:
+        """Rows p of block a link with rows q of block b, all with all or one by one; a block with itself comes both ways."""
         if full:
-            na[p] += wb[q].sum()
-            if not same:
-                nb[q] += wa[p].sum()
-            for i in p:
-                tie(int(i), int(q[0]))
-            for j in q:
-                tie(int(p[0]), int(j))
+            self.counts[a][p] += self.weights[b][q].sum()
+            if a != b:
+                self.counts[b][q] += self.weights[a][p].sum()
+            pairs = [(i, q[0]) for i in p] + [(p[0], j) for j in q]
         else:
-            np.add.at(na, p, wb[q])
-            if not same:
-                np.add.at(nb, q, wa[p])
-            for i, j in zip(p, q, strict=True):
-                tie(int(i), int(j))
-    return na, nb, edges
+            np.add.at(self.counts[a], p, self.weights[b][q])
+            if a != b:
+                np.add.at(self.counts[b], q, self.weights[a][p])
+            pairs = zip(p, q, strict=True)
+        for i, j in pairs:
+            self.tie(self.first[a] + int(i), self.first[b] + int(j))
+
+
+def link_groups(units: list[np.ndarray], weights: list[np.ndarray], many: int, cosine: float) -> Links:
+    """Links between the first many blocks and the others, or of all blocks with each other if there are no others."""
+    links, trees = Links(weights), [CoverTree(x) for x in units]
+    centers = np.array([x.mean(0) for x in units])
+    radii = np.array([np.sqrt(((x - c) ** 2).sum(1)).max() for x, c in zip(units, centers, strict=True)])
+    limit = np.sqrt(2 - 2 * cosine)
+    for a in range(many):
+        for b in range(many, len(units)) if many < len(units) else range(a, many):
+            if np.sqrt(((centers[a] - centers[b]) ** 2).sum()) <= radii[a] + radii[b] + limit + SLACK:
+                for p, q, full in dual_traverse(trees[a], trees[b], cosine):
+                    links.add(a, b, p, q, full)
+    return links
 
 
 def pivots(reps: DataFrame, many: int) -> np.ndarray:
     """Centres for the uppermost level: farthest-first among a bounded sample (lowest hashes)."""
-    rows = reps.select("rep", "unit").orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).collect()
+    rows = reps.select("unit").orderBy(F.xxhash64("unit"), "unit").limit(SAMPLE).collect()
     if not rows:
         return np.zeros((0, 0))
     x = [np.frombuffer(r["unit"]) for r in rows]
@@ -157,12 +170,13 @@ def near_pairs(vectors: DataFrame, cosine: float = 0.93, block: int = BLOCK) ->
 
     Vectors with one label that isn't null link if their cosine, in double precision, is at least the threshold (above 0).
     Equal vectors of a label become one representative with a count first, so a group of copies is one point. The
-    uppermost level of the tree deals representatives by label and nearest pivot, large cells by hash, into blocks; each
-    block builds its cover tree, and pairs of blocks of a label that the covering radii don't rule out are traversed
-    together, each pair in a task's own memory. Only links that span a pair of blocks' components go on; counts are sums.
-    Null, empty, zero or non-finite vectors link with nothing and are their own component; so do rows with a null label.
-    Vectors of different lengths don't link. Rows repeated with one vec_id each count as a vector. Other columns are
-    ignored; an empty table gives no rows.
+    uppermost level deals representatives by label and nearest pivot into cells; cells that their radii don't part meet.
+    A cell's vectors are dealt by hash into blocks, and blocks into groups. A pair of groups is one row: it builds each
+    block's cover tree once and traverses the trees of blocks in pairs, those that their covering radii don't part. So a
+    block is sent once for a pair of groups, not for a pair of blocks. Only links that span what is linked go on; counts
+    are sums. Null, empty, zero or non-finite vectors link with nothing and are their own component; so do rows with a
+    null label or a null vec_id, whose component is null. Vectors of different lengths don't link. Rows repeated with one
+    vec_id each count as a vector, each with its own result. Other columns are ignored; an empty table gives no rows.
     """
     spark = vectors.sparkSession
     small_batches(spark)
@@ -183,70 +197,78 @@ def near_pairs(vectors: DataFrame, cosine: float = 0.93, block: int = BLOCK) ->
 
     kind = dict(numbered.dtypes)["label"]
     valid = stage(numbered.mapInArrow(units, f"vec_id long, label {kind}, unit binary"), "units")
-    usable = valid.where("label is not null and unit is not null")
-    reps = stage(usable.groupBy("label", "unit").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")), "reps")
+    links_at_all = "vec_id is not null and label is not null and unit is not null"
+    usable = valid.where(links_at_all)
+    found = usable.groupBy("label", "unit").agg(F.min("vec_id").alias("first"), F.count("*").alias("copies"))
+    reps = stage(found.withColumn("rep", F.monotonically_increasing_id()), "reps")
     largest = reps.groupBy("label").count().agg(F.max("count")).first()[0] or 0
-    centers = pivots(reps, max(1, min(PIVOTS, -(-largest // block))))
+    centers = pivots(reps, max(1, min(PIVOTS, -(-largest // (block * GROUP)))))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cells = []
+            cells, away = [], []
             for u in batch.column("unit").to_pylist():
                 x = np.frombuffer(u)
-                cells.append(int((centers @ x).argmax()) if len(x) == centers.shape[-1] else -len(x))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cells, pa.int32())], [*batch.schema.names, "cell"])
-
-    placed = stage(reps.mapInArrow(place, f"label {kind}, unit binary, rep long, copies long, cell int"), "placed")
-    sizes = placed.groupBy("label", "cell").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
-    dealt = placed.join(sizes, ["label", "cell"]).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
-    # one row for each block: at most about 1024 vectors, whatever the size of its label
+                dots = centers @ x if len(x) == centers.shape[-1] else None
+                cells.append(-len(x) if dots is None else int(dots.argmax()))
+                away.append(0.0 if dots is None else float(np.sqrt(max(0.0, 2 - 2 * dots.max()))))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cells, pa.int32()), pa.array(away)], [*batch.schema.names, "cell", "away"])
+
+    placed = stage(reps.drop("first").mapInArrow(place, f"label {kind}, unit binary, copies long, rep long, cell int, away double"), "placed")
+    # one row for each cell: at most PIVOTS of a label, and one for each other length of vectors
+    parts = F.ceil(F.count("*") / block).cast("int")
+    cells = stage(placed.groupBy("label", "cell").agg(parts.alias("parts"), F.max("away").alias("radius")), "cells")
+    dealt = placed.join(cells.drop("radius"), ["label", "cell"]).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
     rows = dealt.groupBy("label", "cell", "part").agg(F.collect_list(F.struct("rep", "copies", "unit")).alias("rows"))
-    names = Window.partitionBy("label").orderBy("cell", "part")
 
-    def summary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            centers_, radii = [], []
-            for own in batch.column("rows").to_pylist():
-                x = np.array([np.frombuffer(r["unit"]) for r in own])
-                mean = x.mean(0)
-                centers_.append(mean.tolist())
-                radii.append(float(np.sqrt(((x - mean) ** 2).sum(1)).max()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(centers_, pa.list_(pa.float64())), pa.array(radii, pa.float64())], [*batch.schema.names, "center", "radius"])
-
-    row_type = "array<struct<rep:long,copies:long,unit:binary>>"
-    blocks = stage(rows.mapInArrow(summary, f"label {kind}, cell int, part int, rows {row_type}, center array<double>, radius double"), "blocks")
-    heads = stage(blocks.select("label", "cell", "part", F.row_number().over(names).alias("no"), "center", "radius"), "heads")
-    limit = float(np.sqrt(2 - 2 * cosine))
-    left = heads.select("label", *[F.col(c).alias(f"{c}_a") for c in ("cell", "part", "no", "center", "radius")])
-    right = heads.select("label", *[F.col(c).alias(f"{c}_b") for c in ("cell", "part", "no", "center", "radius")])
-    apart = F.sqrt(F.aggregate(F.zip_with("center_a", "center_b", lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, d: s + d))
-    near = (F.size("center_a") == F.size("center_b")) & (apart <= F.col("radius_a") + F.col("radius_b") + limit + SLACK)
-    pairs = left.join(right, "label").where((F.col("no_a") <= F.col("no_b")) & near)
-    pairs = pairs.select("label", "cell_a", "part_a", "cell_b", "part_b", (F.col("no_a") == F.col("no_b")).alias("same"))
-    side = lambda s: blocks.select("label", F.col("cell").alias(f"cell_{s}"), F.col("part").alias(f"part_{s}"), F.col("rows").alias(f"rows_{s}"))
-    full = pairs.join(side("a"), ["label", "cell_a", "part_a"]).join(side("b"), ["label", "cell_b", "part_b"]).select("same", "rows_a", "rows_b")
+            flat = [batch.column("rows")[k].values for k in range(batch.num_rows)]
+            raw = lambda c, flat=flat: pa.array([x.field(c).to_numpy().tobytes() for x in flat], pa.binary())
+            unit = pa.array([b"".join(x.field("unit").to_pylist()) for x in flat], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], raw("rep"), raw("copies"), unit], [*batch.schema.names[:3], "reps", "copies", "units"])
+
+    blocks = stage(rows.mapInArrow(packed, f"label {kind}, cell int, part int, reps binary, copies binary, units binary"), "blocks")
+    blocks = blocks.withColumn("lot", F.floor(F.col("part") / GROUP).cast("int"))
+    # PIVOTS squared rows at most
+    apart = np.sqrt(np.maximum(0.0, 2 - 2 * centers @ centers.T)) if len(centers) else np.zeros((0, 0))
+    gaps = spark.createDataFrame([(a, b, float(apart[a, b])) for a in range(len(apart)) for b in range(a + 1, len(apart))], "cell_a int, cell_b int, gap double")
+    lots = F.ceil(F.col("parts") / GROUP).cast("int")
+    side = lambda s: cells.select("label", F.col("cell").alias(f"cell_{s}"), lots.alias(f"lots_{s}"), F.col("radius").alias(f"radius_{s}"))
+    close = F.col("gap") <= F.col("radius_a") + F.col("radius_b") + float(np.sqrt(2 - 2 * cosine)) + SLACK
+    across = gaps.join(side("a"), "cell_a").join(side("b"), ["label", "cell_b"]).where(close).select("label", "cell_a", "cell_b", "lots_a", "lots_b")
+    within = side("a").select("label", "cell_a", F.col("cell_a").alias("cell_b"), "lots_a", F.col("lots_a").alias("lots_b"))
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    pairs = across.unionByName(within).select("label", "cell_a", "cell_b", "lots_b", upto("lots_a").alias("lot_a")).select("label", "cell_a", "cell_b", "lot_a", upto("lots_b").alias("lot_b"))
+    pairs = stage(pairs.where("cell_a <> cell_b or lot_a <= lot_b").withColumn("pair", F.monotonically_increasing_id()), "pairs")
+    load = F.struct("reps", "copies", "units").alias("block")
+    sent = lambda s: pairs.select("pair", "label", F.col(f"cell_{s}").alias("cell"), F.col(f"lot_{s}").alias("lot"), F.lit(s == "b").alias("second"))
+    other = sent("b").join(pairs.where("cell_a = cell_b and lot_a = lot_b").select("pair"), "pair", "left_anti")
+    full = sent("a").unionByName(other).join(blocks, ["label", "cell", "lot"]).select("pair", "second", load)
+    full = full.repartition(max(8, int(spark.conf.get("spark.sql.shuffle.partitions"))), "pair").groupBy("pair").agg(
+        F.collect_list(F.when(~F.col("second"), F.col("block"))).alias("one"), F.collect_list(F.when(F.col("second"), F.col("block"))).alias("two")
+    )
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(batch.num_rows):
-                same, *sides = (batch.column(c)[k].as_py() for c in range(3))
-                trees = [CoverTree(np.array([np.frombuffer(r["unit"]) for r in own])) for own in (sides[:1] if same else sides)]
-                weights = [np.array([r["copies"] for r in own], np.int64) for own in sides]
-                na, nb, edges = link_blocks(trees[0], weights[0], trees[-1], weights[1], same, cosine)
-                out = [(r["rep"], None, int(n)) for r, n in zip(sides[0], na, strict=True) if n]
-                out += [] if same else [(r["rep"], None, int(n)) for r, n in zip(sides[1], nb, strict=True) if n]
-                out += [(sides[0][i]["rep"], sides[1][j]["rep"], 0) for i, j in edges if sides[0][i]["rep"] != sides[1][j]["rep"]]
-                columns = list(zip(*out, strict=True)) if out else [()] * 3
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["a", "b", "n"])
-
-    # each pair of blocks is some million products; spread them evenly whatever their size in bytes
-    found = stage(full.repartition(max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))).mapInArrow(compare, "a long, b long, n long"), "links")
+            for one, two in zip(batch.column("one"), batch.column("two"), strict=True):
+                one, two = one.as_py(), two.as_py()
+                reps_, weights = ([np.frombuffer(x[c], np.int64) for x in one + two] for c in ("reps", "copies"))
+                x = [np.frombuffer(b["units"]).reshape(len(w), -1) for b, w in zip(one + two, weights, strict=True)]
+                links, names = link_groups(x, weights, len(one), cosine), np.concatenate(reps_)
+                n = np.concatenate(links.counts)
+                linked, edges = np.flatnonzero(n), np.array(links.edges, np.int64).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([pa.array(names[linked]), pa.nulls(len(linked), pa.int64()), pa.array(n[linked])], ["a", "b", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(names[edges[:, 0]]), pa.array(names[edges[:, 1]]), pa.array(np.zeros(len(edges), np.int64))], ["a", "b", "n"])
+
+    found = stage(full.select("one", "two").mapInArrow(compare, "a long, b long, n long"), "links")
     links = found.where("b is null").groupBy(F.col("a").alias("rep")).agg((F.sum("n") - 1).alias("n_links"))  # a row counts itself once
-    classes = components(found.where("b is not null").select("a", "b"))
-    known = reps.select("label", "unit", "rep").join(links, "rep", "left").join(classes.withColumnRenamed("node", "rep"), "rep", "left")
-    known = stage(known.select("label", "unit", "n_links", F.coalesce("component", "rep").alias("component_id")), "classes")
+    classes = components(found.where("b is not null").select("a", "b")).withColumnRenamed("node", "rep")
+    named = stage(reps.select("label", "unit", "rep", "first").join(links, "rep", "left").join(classes, "rep", "left").withColumn("component", F.coalesce("component", "rep")), "classes")
+    lowest = named.groupBy("component").agg(F.min("first").alias("component_id"))
+    known = named.join(lowest, "component").select("label", "unit", "n_links", "component_id")
     met = usable.join(known, ["label", "unit"]).select("vec_id", "n_links", "component_id")
-    alone = valid.where("label is null or unit is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    alone = valid.where(f"not ({links_at_all})").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return met.unionByName(alone).select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 

@@ -431,7 +431,7 @@ def test_cover_tree_at_the_limit():
     assert (tree_hits(np.array([row] * 12), 0.93)[0] == 1).all()
 
 
-@pytest.mark.parametrize("block", [16, 1024])
+@pytest.mark.parametrize("block", [2, 16, 1024])
 def test_near_pairs(spark, block):
     rng = np.random.default_rng(4)
     x = rng.normal(size=(120, 6))
@@ -440,20 +440,40 @@ def test_near_pairs(spark, block):
     x[110] = 3 * x[5]
     rows = [(k, v.tolist(), int(k % 2)) for k, v in enumerate(x)]
     odd = [(200, None, 0), (201, [0.0] * 6, 0), (202, [float("nan")] * 6, 0), (203, [1.0, None] * 3, 1), (204, x[5].tolist(), None), (205, [1.0, 2.0], 0), (206, [], 0), (207, [float("inf")] + [0.0] * 5, 1)]
+    odd += [(None, x[5].tolist(), 1), (7, x[3].tolist(), 1)]  # no id; an id repeated with another vector
     frame = spark.createDataFrame([(*r, "extra") for r in rows + odd], "vec_id long, embedding array<double>, label int, rep string")
-    got = {r["vec_id"]: r for r in cover_tree.near_pairs(frame, 0.93, block).collect()}
+    got = cover_tree.near_pairs(frame, 0.93, block).collect()
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
-    links = [(i, j) for i, j in combinations(range(120), 2) if i % 2 == j % 2 and unit[i] @ unit[j] >= 0.93]
+    place = [*range(120), 3]  # the last one is row 3 under another id
+    links = [(i, j) for i, j in combinations(range(121), 2) if place[i] % 2 == place[j] % 2 and unit[place[i]] @ unit[place[j]] >= 0.93]
     count = Counter(k for p in links for k in p)
-    best = parted(links, range(120))
-    assert len(got) == 128
-    for k in range(120):
-        assert (got[k]["n_links"], got[k]["component_id"], got[k]["kept"]) == (count[k], best[k], best[k] == k)
+    best = parted(links, range(121))
+    assert len(got) == 130 and [tuple(r) for r in got if r["vec_id"] is None] == [(None, 0, None, True)]
+    best[120] = min((7 if k == 120 else k) for k in range(121) if best[k] == best[120])
+    assert best[3] == best[120]
+    want = Counter((7 if k == 120 else k, count[k], best[k], best[k] == (7 if k == 120 else k)) for k in range(121))
+    assert Counter(tuple(r) for r in got if r["vec_id"] is not None and r["vec_id"] < 200) == want
+    got = {r["vec_id"]: r for r in got}
     for k in range(200, 208):
         assert (got[k]["n_links"], got[k]["component_id"], got[k]["kept"]) == (0, k, True)
     assert cover_tree.near_pairs(frame.limit(0)).count() == 0
 
 
+def test_near_pairs_with_ties(spark):
+    """Rows whose cosine is the limit to the last bits end, and clear pairs around them are told apart."""
+    rng = np.random.default_rng(8)
+    a = np.zeros(16)
+    a[0] = 1
+    x = [np.sqrt(0.93) * a + np.sqrt(0.07) * np.eye(16)[k] for k in range(1, 16)] + [a]
+    x += [np.sqrt(0.95) * a + np.sqrt(0.05) * v / np.linalg.norm(v) for v in np.pad(rng.normal(size=(20, 15)), ((0, 0), (1, 0)))]
+    frame = spark.createDataFrame([(k, v.tolist(), 1) for k, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: r for r in cover_tree.near_pairs(frame).collect()}
+    dots = np.array(x) @ np.array(x).T
+    for k in range(len(x)):
+        least, most = (int((dots[k] >= 0.93 + e).sum()) - 1 for e in (1e-12, -1e-12))
+        assert max(0, least) <= got[k]["n_links"] <= most and (most == 0 or got[k]["component_id"] >= 0)
+
+
 # ---- near copies of texts
 
 
