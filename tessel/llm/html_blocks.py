@@ -28,99 +28,190 @@ BOILER_WORDS = (
     "login search pagination pager tags meta copyright toolbar topbar legal"
 ).split()
 
-TOKEN = re.compile(r"<!--.*?-->|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S)
+TEXT = re.compile(r"[^<]+")
+TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+QUOTE_OR_END = re.compile(r"[>\"']")
 NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 WORD = re.compile(r"[a-z0-9]+")
+#: Decimal references that html.unescape() must not see: its conversion of very long numbers fails.
+ZEROS, HUGE = re.compile(r"&#0+(?=[0-9])"), re.compile(r"&#[0-9]{8,};?")
 
 PATH_DIM, WORD_DIM, DENSE_DIM = 256, 64, 5
 DIM = PATH_DIM + WORD_DIM + DENSE_DIM
 HIDDEN, EPOCHS = 12, 8
-#: The fit takes at most this many pages, those with the lowest hash of their id, of at most MAX_CHARS characters.
-SAMPLE_PAGES, MAX_CHARS = 120, 60_000
+#: The fit takes at most this many pages, those with the lowest hash of their id, of at most MAX_CHARS characters and
+#: MAX_TOKENS path tokens in all.
+SAMPLE_PAGES, MAX_CHARS, MAX_TOKENS = 120, 60_000, 300_000
+#: Blocks with features in memory, about, and characters of pages that are taken apart at once (a longer page by itself).
+ROWS, SLICE = 16_000, 2_000_000
 
-Block = tuple[list[str], str, float]  # path tokens from the root on, text, share of characters in links
+class Place:
+    """An open element: its tokens, those of its ancestors as bits of a hash, and whether a link is around it."""
+
+    __slots__ = ("parent", "tokens", "mask", "linked", "depth")
+
+    def __init__(self, parent: Place | None, tokens: list[str], linked: bool = False):
+        self.parent, self.tokens = parent, tokens
+        self.linked = linked or (parent is not None and parent.linked)
+        self.depth = len(tokens) + (parent.depth if parent else 0)
+        self.mask = parent.mask if parent else 0
+        for t in tokens:
+            self.mask |= 1 << zlib.crc32(t.encode()) % PATH_DIM
+
+    def path(self) -> list[str]:
+        """Tokens from the root on."""
+        levels, place = [], self
+        while place is not None:
+            levels.append(place.tokens)
+            place = place.parent
+        return [t for tokens in reversed(levels) for t in tokens]
+
+
+Block = tuple[Place, str, float]  # where it is, text, share of characters in links
+Sample = tuple[list[str], str, float]  # the same with the path spelled out, for the few pages of the fit
+
+
+class Scanner:
+    """Ends of tags and comments of one page, found in time linear in the page.
+
+    A tag ends at the first > outside quotes. If its quotes swallow the rest of the page, quotes count for nothing from
+    there on; where no end is left, a < is text. So no part of the page is searched in vain twice.
+    """
+
+    def __init__(self, page: str):
+        self.page, self.quotes, self.comments, self.ends = page, True, True, True
+
+    def find(self, at: int) -> int:
+        """Behind the next >, or -1."""
+        k = self.page.find(">", at) if self.ends else -1
+        self.ends = k >= 0
+        return k + 1 if k >= 0 else -1
+
+    def tag(self, at: int) -> int:
+        while self.quotes and self.ends:
+            m = QUOTE_OR_END.search(self.page, at)
+            if m and m[0] == ">":
+                return m.end()
+            k = self.page.find(m[0], m.end()) if m else -1
+            self.quotes, at = k >= 0, k + 1 if k >= 0 else at
+        return self.find(at)
+
+    def comment(self, at: int) -> int:
+        k = self.page.find("-->", at + 4) if self.comments and self.page.startswith("<!--", at) else -1
+        if k >= 0:
+            return k + 3
+        self.comments &= not self.page.startswith("<!--", at)
+        return self.find(at)
+
+
+class Elements:
+    """The open elements, innermost last, and where those of each name are."""
+
+    def __init__(self):
+        self.open: list[tuple[str, Place]] = []
+        self.at: dict[str, list[int]] = {}
+
+    def top(self) -> Place | None:
+        return self.open[-1][1] if self.open else None
+
+    def push(self, name: str, tokens: list[str]) -> None:
+        self.at.setdefault(name, []).append(len(self.open))
+        self.open.append((name, Place(self.top(), tokens, name == "a")))
+
+    def pop(self, names: set[str], stop: set[str] = frozenset()) -> None:
+        """Close the innermost element of these names and all inside it, unless a stop element is in between."""
+        last = lambda own: max((self.at[n][-1] for n in own if self.at.get(n)), default=-1)
+        k = last(names)
+        if k >= 0 and k > last(stop):
+            while len(self.open) > k:
+                self.at[self.open.pop()[0]].pop()
+
+
+def unescape(text: str) -> str:
+    if "&" not in text:
+        return text
+    return html.unescape(HUGE.sub("\ufffd", ZEROS.sub("&#", text)) if "&#" in text else text)
 
 
 def blocks(page: str) -> list[Block]:
-    """Leaf blocks in page order: text between block-level tags, with character references decoded and blanks folded."""
+    """Leaf blocks in page order: text between block-level tags, with character references decoded and blanks folded.
+
+    Time is linear in the page, however deep or broken it is.
+    """
     out: list[Block] = []
-    stack: list[tuple[str, list[str]]] = []
+    elements, scanner, root = Elements(), Scanner(page), Place(None, [])
     texts: list[str] = []
-    path: list[str] | None = None
+    place: Place | None = None
     linked = 0
 
     def flush() -> None:
-        nonlocal path, linked
+        nonlocal place, linked
         text = " ".join("".join(texts).split())
         if text:
-            out.append((path or [], text, min(1.0, linked / len(text))))
+            out.append((place or root, text, min(1.0, linked / len(text))))
         texts.clear()
-        path, linked = None, 0
-
-    def pop(names: set[str], stop: set[str]) -> None:
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] in names:
-                del stack[k:]
-                return
-            if stack[k][0] in stop:
-                return
-
-    at, end = 0, len(page)
-    while at < end:
-        m = TOKEN.match(page, at)
-        at = m.end()
-        name = m[2]
-        if name is None:
-            piece = m[0]
-            if piece[0] == "<" and len(piece) > 1:
+        place, linked = None, 0
+
+    at, size = 0, len(page)
+    while at < size:
+        m, stop = (None, -1) if page[at] != "<" else (TAG.match(page, at), -1)
+        if m:
+            stop = scanner.tag(m.end())
+        elif page[at] == "<" and page[at + 1 : at + 2] in ("!", "?"):
+            stop = scanner.comment(at)
+            if stop >= 0:
+                at = stop
                 continue
-            piece = html.unescape(piece) if "&" in piece else piece
-            if path is None and not piece.isspace():
-                path = [t for _, own in stack for t in own]
+        if stop < 0:
+            piece = "<" if page[at] == "<" else TEXT.match(page, at)[0]
+            at += len(piece)
+            piece = unescape(piece)
+            if place is None and not piece.isspace():
+                place = elements.top() or root
             texts.append(piece)
-            if any(tag == "a" for tag, _ in stack):
+            if elements.open and elements.top().linked:
                 linked += len(piece.strip())
             continue
-        name = name.lower()
-        if name in RAW and not m[1]:
+        closing, name, rest = m[1], m[2].lower(), page[m.end() : stop - 1]
+        at = stop
+        if name in RAW and not closing:
             flush()
-            if name in FOREIGN and m[3].endswith("/"):
+            if name in FOREIGN and rest.endswith("/"):
                 continue  # closed by itself, which HTML knows only for foreign elements
             close = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
-            at = close.end() if close else end
+            at = close.end() if close else size
             continue
         if name == "br":
             texts.append(" ")
             continue
         if name not in INLINE:
             flush()
-        if m[1]:
-            pop({name}, set())
+        if closing:
+            elements.pop({name})
             continue
         if name not in INLINE:
-            pop({"p"}, {"article", "div", "td", "li", "body", "section"})
+            elements.pop({"p"}, {"article", "div", "td", "li", "body", "section"})
             if name in CLOSES:
-                pop(CLOSES[name], {"ul", "ol", "dl", "table", "select"})
-        if name not in VOID:
-            words = [w for found in NAMED.findall(m[3]) for w in WORD.findall("".join(found).lower())] if m[3] else []
-            if not m[3].endswith("/"):
-                stack.append((name, [f"t:{name}", *(f"c:{w}" for w in words)]))
+                elements.pop(CLOSES[name], {"ul", "ol", "dl", "table", "select"})
+        if name not in VOID and not rest.endswith("/"):
+            words = [w for found in NAMED.findall(rest) for w in WORD.findall("".join(found).lower())] if rest else []
+            elements.push(name, [f"t:{name}", *(f"c:{w}" for w in words)])
     flush()
     return out
 
 
-def features(found: list[Block]) -> np.ndarray:
-    """A row for each block: hashed path tokens, the direction of its hashed counts of all words, and shape."""
-    x = np.zeros((len(found), DIM), np.float32)
-    for k, (path, text, linked) in enumerate(found):
-        for t in path:
-            x[k, zlib.crc32(t.encode()) % PATH_DIM] = 1
-        if path:
-            x[k, zlib.crc32(f"last {path[-1]}".encode()) % PATH_DIM] = 1
+def features(found: list[Block], start: int = 0, stop: int | None = None) -> np.ndarray:
+    """A row for each block from start to stop: hashed path tokens, the direction of its hashed counts of all words, and shape."""
+    own = found[start:stop]
+    x = np.zeros((len(own), DIM), np.float32)
+    for k, (place, text, linked) in enumerate(own):
+        x[k, :PATH_DIM] = np.unpackbits(np.frombuffer(place.mask.to_bytes(PATH_DIM // 8, "little"), np.uint8), bitorder="little")
+        if place.tokens:
+            x[k, zlib.crc32(f"last {place.tokens[-1]}".encode()) % PATH_DIM] = 1
         # neither cut nor capped: in a long block a cap would hold at every place, and later words would count for nothing
         counts = np.bincount([zlib.crc32(w.encode()) % WORD_DIM for w in text.lower().split()], minlength=WORD_DIM)
         x[k, PATH_DIM : PATH_DIM + WORD_DIM] = counts / np.linalg.norm(counts)
-        x[k, -DENSE_DIM:] = (np.log1p(len(text)) / 8, linked, k / len(found), (len(found) - k) / len(found), text[-1] in ".!?")
+        x[k, -DENSE_DIM:] = (np.log1p(len(text)) / 8, linked, (start + k) / len(found), (len(found) - start - k) / len(found), text[-1] in ".!?")
     return x
 
 
@@ -140,10 +231,14 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def scan(z: np.ndarray, recurrent: np.ndarray, mask: np.ndarray, tape: list | None = None) -> np.ndarray:
-    """Hidden states [pages, steps, HIDDEN] of one direction from input projections z; padding leaves the state as it is."""
+def scan(z: np.ndarray, recurrent: np.ndarray, mask: np.ndarray, tape: list | None = None, state: list[np.ndarray] | None = None) -> np.ndarray:
+    """Hidden states [pages, steps, HIDDEN] of one direction from input projections z; padding leaves the state as it is.
+
+    A state is gone on from, and left as it is after the last step.
+    """
     n, steps, _ = z.shape
-    h, c, out = np.zeros((n, HIDDEN), np.float32), np.zeros((n, HIDDEN), np.float32), np.zeros((n, steps, HIDDEN), np.float32)
+    h, c = state or (np.zeros((n, HIDDEN), np.float32), np.zeros((n, HIDDEN), np.float32))
+    out = np.zeros((n, steps, HIDDEN), np.float32)
     for t in range(steps):
         a = z[:, t] + h @ recurrent
         i, f, o = (sigmoid(a[:, k * HIDDEN : (k + 1) * HIDDEN]) for k in range(3))
@@ -155,6 +250,8 @@ def scan(z: np.ndarray, recurrent: np.ndarray, mask: np.ndarray, tape: list | No
             tape.append((h, c, i, f, o, g, squashed, live))
         h, c = np.where(live, o * squashed, h), np.where(live, c_new, c)
         out[:, t] = h
+    if state:
+        state[:] = h, c
     return out
 
 
@@ -194,27 +291,44 @@ def dense(at: np.ndarray, values: np.ndarray, rows: int) -> np.ndarray:
     return x.reshape(rows, DIM)
 
 
-def label(rows: list[np.ndarray], w: dict[str, np.ndarray]) -> list[np.ndarray]:
-    """Probability of each block to be main text, for pages given by their blocks' features."""
-    out: list[np.ndarray] = [np.zeros(0, np.float32)] * len(rows)
-    order = sorted((k for k in range(len(rows)) if len(rows[k])), key=lambda k: len(rows[k]))
+def hidden_of_long(found: list[Block], w: dict[str, np.ndarray], side: str) -> np.ndarray:
+    """Hidden states of one direction over a page of any length, ROWS blocks at a time."""
+    state = [np.zeros((1, HIDDEN), np.float32), np.zeros((1, HIDDEN), np.float32)]
+    out = np.zeros((len(found), HIDDEN), np.float32)
+    step = 1 if side == "f" else -1
+    for a in range(0, len(found), ROWS)[::step]:
+        z = features(found, a, a + ROWS)[::step] @ w[f"x{side}"] + w[f"c{side}"]
+        out[a : a + ROWS] = scan(z[None], w[f"h{side}"], np.ones((1, len(z)), bool), None, state)[0][::step]
+    return out
+
+
+def label(pages: list[list[Block]], w: dict[str, np.ndarray]) -> list[np.ndarray]:
+    """Probability of each block to be main text, for pages given by their blocks; about ROWS blocks have features at once."""
+    out: list[np.ndarray] = [np.zeros(0, np.float32)] * len(pages)
+    order = sorted((k for k in range(len(pages)) if pages[k]), key=lambda k: len(pages[k]))
     while order:
-        take = max(1, min(len(order), 256, 16_000 // len(rows[order[-1]])))
+        longest = len(pages[order[-1]])
+        if longest > ROWS:
+            k = order.pop()
+            both = np.concatenate([hidden_of_long(pages[k], w, side) for side in "fb"], 1)
+            out[k] = sigmoid(both @ w["out"] + w["bias"][0])
+            continue
+        take = max(1, min(len(order), 256, ROWS // longest))
         group, order = order[-take:], order[:-take]
-        x, mask = padded([rows[k] for k in group])
+        x, mask = padded([features(pages[k]) for k in group])
         front = scan(x @ w["xf"] + w["cf"], w["hf"], mask)
         back = scan(x[:, ::-1] @ w["xb"] + w["cb"], w["hb"], mask[:, ::-1])[:, ::-1]
         p = sigmoid(np.concatenate([front, back], 2) @ w["out"] + w["bias"][0])
         for row, k in enumerate(group):
-            out[k] = p[row, : len(rows[k])]
+            out[k] = p[row, : len(pages[k])]
     return out
 
 
-def fit(pages: Iterable[tuple[list[Block], list[int]]], seed: int = 3) -> dict[str, np.ndarray]:
+def fit(pages: Iterable[tuple[list[Sample], list[int]]], seed: int = 3) -> dict[str, np.ndarray]:
     """Weights by back-propagation through time over whole pages, with Adam."""
     w = new_weights(seed)
     rng = np.random.default_rng(seed)
-    data = [(sparse(features(b)), np.array(y, np.float32)) for b, y in pages if b]
+    data = [(sparse(features([(Place(None, path), *rest) for path, *rest in b])), np.array(y, np.float32)) for b, y in pages if b]
     first = {k: np.zeros_like(v) for k, v in w.items()}
     second = {k: np.zeros_like(v) for k, v in w.items()}
     step = 0
@@ -249,13 +363,13 @@ def fit(pages: Iterable[tuple[list[Block], list[int]]], seed: int = 3) -> dict[s
     return w
 
 
-def weak_labels(found: list[Block]) -> list[int]:
+def weak_labels(found: list[Sample]) -> list[int]:
     """1 for blocks inside an article or main element with no part of a page's frame around them."""
     boiler = {f"t:{t}" for t in BOILER_TAGS} | {f"c:{x}" for x in BOILER_WORDS}
     return [int(bool({"t:article", "t:main"} & set(path)) and not boiler & set(path)) for path, _, _ in found]
 
 
-def variants(found: list[Block], rng: np.random.Generator, many: int = 3) -> Iterator[tuple[list[Block], list[int]]]:
+def variants(found: list[Sample], rng: np.random.Generator, many: int = 3) -> Iterator[tuple[list[Sample], list[int]]]:
     """A page as it is, and with other containers and more frame parts around and inside its article.
 
     The pages themselves may use few of the elements and names that sites have, so the labeller sees the others here.
@@ -267,7 +381,7 @@ def variants(found: list[Block], rng: np.random.Generator, many: int = 3) -> Ite
         container = CONTENT[rng.integers(len(CONTENT))] if rng.random() < 0.85 else ["t:div"]
         if rng.random() < 0.3:
             container = ["t:div", *container]
-        rows: list[tuple[Block, int]] = []
+        rows: list[tuple[Sample, int]] = []
         for (path, text, linked), mark in zip(found, marks, strict=True):
             if mark:
                 k = next(i for i, t in enumerate(path) if t in ("t:article", "t:main"))
@@ -294,11 +408,29 @@ def variants(found: list[Block], rng: np.random.Generator, many: int = 3) -> Ite
         yield [r[0] for r in rows], [r[1] for r in rows]
 
 
-def training_pages(pages: DataFrame) -> list[str]:
+def training_pages(pages: DataFrame) -> list[list[Sample]]:
+    """The sample's pages as blocks; of rows with one page_id the one with the lowest hash.
+
+    Left out are very deep pages, and those without an article or main element, which don't say what their text is.
+    """
     rows = pages.where(F.length("html").between(1, MAX_CHARS)).select("page_id", "html")
-    chosen = rows.select("page_id").orderBy(F.xxhash64("page_id"), "page_id").limit(SAMPLE_PAGES)
-    got = rows.join(F.broadcast(chosen), "page_id").dropDuplicates(["page_id"]).collect()
-    return [r["html"] for r in sorted(got, key=lambda r: r["page_id"])]
+    chosen = rows.where("page_id is not null").select("page_id").distinct().orderBy(F.xxhash64("page_id"), "page_id").limit(SAMPLE_PAGES)
+    got = rows.join(F.broadcast(chosen), "page_id").groupBy("page_id").agg(F.min(F.struct(F.xxhash64("html").alias("h"), "html")).alias("first"))
+    found = [blocks(r["first"]["html"]) for r in sorted(got.collect(), key=lambda r: r["page_id"])]
+    spelled = [[(place.path(), text, linked) for place, text, linked in b] for b in found if sum(place.depth for place, _, _ in b) <= MAX_TOKENS]
+    return [b for b in spelled if any(weak_labels(b))]
+
+
+def slices(pages: list[str]) -> Iterator[list[str]]:
+    """The pages in their order, about SLICE characters at a time."""
+    held: list[str] = []
+    for page in pages:
+        if held and sum(map(len, held)) + len(page) > SLICE:
+            yield held
+            held = []
+        held.append(page)
+    if held:
+        yield held
 
 
 def extract(pages: DataFrame, seed: int = 3) -> DataFrame:
@@ -307,18 +439,20 @@ def extract(pages: DataFrame, seed: int = 3) -> DataFrame:
     Every page is cut into leaf blocks; the labeller, fitted on a bounded sample of the pages with labels from their
     article elements, reads each block's path and all its words and, through both directions of the LSTM, all other blocks. The
     blocks that it takes as main text are joined in page order by two line feeds. Null or empty html, and pages without
-    main text, give an empty text. Unclosed tags end with their parent; text of any length is read whole; rows with equal
-    page_id are kept; other columns are ignored; an empty table gives no rows.
+    main text, give an empty text. Unclosed tags end with their parent; text of any length is read whole, in linear time
+    and in slices of bounded memory; a < that starts no tag is text. Rows with equal page_id are kept; a null page_id is
+    kept, but not learned from; other columns are ignored; an empty table gives no rows.
     """
     small_batches(pages.sparkSession)
     rng = np.random.default_rng(seed)
-    w = fit((v for page in training_pages(pages) for v in variants(blocks(page), rng)), seed)
+    w = fit((v for found in training_pages(pages) for v in variants(found, rng)), seed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [blocks(page) for page in batch.column("html").to_pylist()]
-            marks = label([features(b) for b in found], w)
-            texts = ["\n\n".join(text for (_, text, _), p in zip(b, m, strict=True) if p >= 0.5) for b, m in zip(found, marks, strict=True)]
+            texts: list[str] = []
+            for some in slices(batch.column("html").to_pylist()):
+                found = [blocks(page) for page in some]
+                texts += ["\n\n".join(text for (_, text, _), p in zip(b, m, strict=True) if p >= 0.5) for b, m in zip(found, label(found, w), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.coalesce("html", F.lit("")).alias("html"))

@@ -298,7 +298,7 @@ def test_lm_on_held_out_documents(spark, sf_dir):
 def test_blocks():
     page = "<p>a &amp; b<br>c&nbsp;d<p>e<script>var x='</p>';</script><b>f</b> g<!-- no --><ul><li>h<li><a href='/x'>i</a></ul>j < k &am"
     assert [t for _, t, _ in html_blocks.blocks(page)] == ["a & b c d", "e", "f g", "h", "i", "j < k &am"]
-    assert html_blocks.blocks("") == [] and html_blocks.blocks("<div class='x y'><p>z")[0][0] == ["t:div", "c:x", "c:y", "t:p"]
+    assert html_blocks.blocks("") == [] and html_blocks.blocks("<div class='x y'><p>z")[0][0].path() == ["t:div", "c:x", "c:y", "t:p"]
     assert html_blocks.blocks("<")[0][1] == "<" and html_blocks.blocks("<p <script>x")
 
 
@@ -308,11 +308,87 @@ def test_foreign_elements_closed_by_themselves():
     assert texts("<p>a<svg><text>no</text></svg>b<script/>no</script>c") == ["a", "b", "c"]
 
 
+HOSTILE = {
+    "unclosed tags": "<a ",
+    "unclosed quotes": "<a href='",
+    "quotes around ends": "<a b='>\">",
+    "nested": "<div>x",
+    "nested links": "<a><b>x",
+    "comments": "<!-- x <!",
+    "declarations": "<?x <!y ",
+    "unclosed raw": "<p>x</script <scrip",
+    "lists": "<li><ul><div><li>x",
+    "stray ends": "<ul></p>x",
+    "references": "&#999999999 &amp",
+    "signs": "<<",
+}
+
+
+@pytest.mark.parametrize("case", sorted(HOSTILE))
+def test_blocks_in_linear_time(case):
+    import time
+
+    def took(n):
+        page = HOSTILE[case] * (n // len(HOSTILE[case]))
+        begun = time.process_time()
+        html_blocks.blocks(page)
+        return time.process_time() - begun
+
+    html_blocks.blocks(HOSTILE[case] * 100)
+    small, large = min(took(100_000) for _ in range(2)), took(1_600_000)
+    assert large < 0.2 + 16 * 4 * small, (small, large)
+    assert large < 30
+
+
+def test_broken_pages():
+    texts = lambda page: [t for _, t, _ in html_blocks.blocks(page)]
+    assert texts("a < b <p>c <a href='x'>d</a> <a href='y>e") == ["a < b", "c d e"]
+    assert texts("<p title='a > b'>c<p title=\"it's\">d<p x=it's>e") == ["c", "d", "e"]
+    assert texts("<!-- a --><p>b<!-- c <p>d") == ["bd"]  # a comment without an end goes to the next >
+    assert texts("&#" + "9" * 6000 + ";a&#" + "0" * 6000 + "65;") == ["\ufffdaA"]
+    assert texts("<p>a" + "<b>" * 3000 + "b" + "<div>" * 3000 + "c") == ["ab", "c"]
+
+
+#: Pages without an article element, by hand: what stands around the text and the text itself.
+BY_HAND = [
+    (
+        """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body><div class="header"><a href="/">Home</a></div><nav><ul><li><a href=1>One</a><li><a href=2>Two</a></ul></nav>
+        <div class="content"><h1>Rain &amp; wind</h1><p>It rained all day   in the valley, and the river rose.</p><p>By night the wind had
+        turned.</p></div><div class="sidebar"><p>Related: <a href=3>other things</a></p></div><footer><p>Copyright us</p></footer><script>var a = "<p>no</p>";</script></body></html>""",
+        "Rain & wind\n\nIt rained all day in the valley, and the river rose.\n\nBy night the wind had turned.",
+    ),
+    (
+        """<html><body><div class="cookie notice"><p>We use cookies.</p><button>OK</button></div><main><h1>The bridge</h1><p>The old bridge was <b>closed</b> in spring.</p><blockquote>It will not open again.</blockquote></main>
+        <section class="comments"><h3>Comments</h3><p>First!</p></section><form><label>Name</label><input><button>Send</button></form></body></html>""",
+        "The bridge\n\nThe old bridge was closed in spring.\n\nIt will not open again.",
+    ),
+]
+
+
+def test_pages_by_hand(spark, sf_dir):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    extra = spark.createDataFrame([(10**6 + k, "u", page) for k, (page, _) in enumerate(BY_HAND)] + [(10**6, "again", BY_HAND[1][0]), (None, "v", BY_HAND[0][0])], "page_id long, url string, html string")
+    rows = pages.union(extra).selectExpr("*", "'clash' as text", "1 as n_chars")
+    got = [tuple(r) for r in html_blocks.extract(rows).where("page_id >= 1000000 or page_id is null").collect()]
+    want = [(10**6 + k, "u", text) for k, (_, text) in enumerate(BY_HAND)] + [(10**6, "again", BY_HAND[1][1]), (None, "v", BY_HAND[0][1])]
+    assert sorted(map(str, got)) == sorted(str((*r, len(r[2]))) for r in want)
+
+
+def test_label_of_long_pages(monkeypatch):
+    w = html_blocks.new_weights(1)
+    page = html_blocks.blocks("".join(f"<p class=k{k % 7}>word {k} and more<ul><li>x{k}</ul>" for k in range(60)))
+    whole = html_blocks.label([page, page[:5]], w)
+    monkeypatch.setattr(html_blocks, "ROWS", 17)
+    parts = html_blocks.label([page, page[:5]], w)
+    assert np.allclose(whole[0], parts[0], atol=1e-5) and np.allclose(whole[1], parts[1], atol=1e-5)
+
+
 def test_gradient():
     rng = np.random.default_rng(0)
     pages = [([(["t:p", "c:x"], "some words here", 0.0), (["t:nav"], "menu", 1.0), (["t:p"], "more words", 0.0)], [1, 0, 1])] * 4
     w = html_blocks.fit(pages, 1)
-    p = html_blocks.label([html_blocks.features(pages[0][0])], w)[0]
+    placed = [(html_blocks.Place(None, path), *rest) for path, *rest in pages[0][0]]
+    p = html_blocks.label([placed], w)[0]
     assert p[0] > 0.5 > p[1] and p[2] > 0.5
     z = rng.normal(size=(2, 4, 4 * html_blocks.HIDDEN)).astype(np.float32)
     r = rng.normal(0, 0.3, (html_blocks.HIDDEN, 4 * html_blocks.HIDDEN)).astype(np.float32)
@@ -329,7 +405,7 @@ def test_gradient():
 
 
 def test_features_read_all_words():
-    found = lambda words: [(["t:p"], " ".join(words), 0.0)]
+    found = lambda words: [(html_blocks.Place(None, ["t:p"]), " ".join(words), 0.0)]
     at = slice(html_blocks.PATH_DIM, html_blocks.PATH_DIM + html_blocks.WORD_DIM)
     words = [f"w{k % 500}" for k in range(2000)]
     x = html_blocks.features(found(words))[0, at]
@@ -346,7 +422,7 @@ def test_fit_reads_all_blocks(spark, monkeypatch):
     monkeypatch.setattr(html_blocks, "fit", lambda pages, seed: seen.extend(pages) or html_blocks.new_weights(seed))
     html_blocks.extract(spark.createDataFrame([(1, "u", page)], "page_id long, url string, html string"))
     assert [len(seen[0][0]), sum(seen[0][1]), seen[0][0][-1][1]] == [301, 300, "the end"]
-    rows = html_blocks.features(seen[0][0])
+    rows = html_blocks.features([(html_blocks.Place(None, path), *rest) for path, *rest in seen[0][0]])
     assert (html_blocks.dense(*html_blocks.sparse(rows)) == rows).all()
 
 
