@@ -79,7 +79,7 @@ def _codes(doc_ids: pa.Array, rows: list[tuple[int, str, str]]) -> pa.RecordBatc
     return pa.RecordBatch.from_arrays([doc_ids, pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(raw, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
 
-def encode_decode(docs: DataFrame, ranks: str, pattern: str, chunk: int = 65_536, overlap: int = 1024) -> DataFrame:
+def encode_decode(docs: DataFrame, ranks: str, pattern: str, chunk: int = 16_384, overlap: int = 1024) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id, n_tokens, ids_sha256, decoded_sha256.
 
     Texts of more than chunk characters are cut into overlapping chunks that are pre-tokenised in parallel. A chunk

@@ -102,17 +102,19 @@ def training_sample(docs: DataFrame, labels: DataFrame) -> list[tuple[bytes, int
     """At most SAMPLE_ROWS labelled rows of each class whose text has at most MAX_BYTES bytes, lowest hash first.
 
     Only rows whose crc32 of the id's text leaves no 1 modulo 3 are eligible; so the sample fits the driver at any scale.
+    Of rows with one doc_id the text with the lowest hash is taken.
     """
     eligible = docs.where((F.octet_length("text") <= MAX_BYTES) & (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1)).select("doc_id", "text")
     marked = labels.where("quality in (0, 1)").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     chosen = []
     for label in (0, 1):
-        ids = marked.where(F.col("quality") == label).join(eligible.select("doc_id"), "doc_id", "left_semi")
+        ids = marked.where(F.col("quality") == label).join(eligible.select("doc_id").distinct(), "doc_id", "left_semi")
         ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS)
         chosen.append(ids)
     ids = chosen[0].union(chosen[1])
-    rows = eligible.join(F.broadcast(ids), "doc_id").select("doc_id", "text", "quality").dropDuplicates(["doc_id"]).collect()
-    return [(r["text"].encode(), r["quality"]) for r in sorted(rows, key=lambda r: r["doc_id"])]
+    one = F.min(F.struct(F.xxhash64("text").alias("h"), "text", "quality")).alias("one")
+    rows = eligible.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(one).collect()
+    return [(r["one"]["text"].encode(), r["one"]["quality"]) for r in sorted(rows, key=lambda r: r["doc_id"])]
 
 
 def score(docs: DataFrame, labels: DataFrame, whole: bool = False) -> DataFrame:

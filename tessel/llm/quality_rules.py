@@ -195,12 +195,14 @@ def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: floa
     A document is kept if it passes the base rules and no rule of its stratum has it above the cutoff. With probability
     1 - delta at least, the rules reject no more than alpha of the good documents of any stratum. Strata without enough
     labelled good documents have no cutoffs and reject nothing. Null text has no words and fails the base rules; a null
-    stratum is a stratum; labels that are null, or for other documents, are not used; repeated rows are judged one by
-    one; an empty table gives no rows. With whole, _row has all columns of the row that is judged.
+    stratum is a stratum, and so is the whole table if it has no such column; labels that are null, or for other documents, are not used; repeated rows are judged one by
+    one; other columns may have any name and are ignored; an empty table gives no rows. With whole, _row has all columns of
+    the row that is judged.
     """
     own = ["_row"] if whole else []
-    docs = docs.select("*", *[F.struct("*").alias(c) for c in own])
-    counted = stage(with_counts(docs.withColumn("_stratum", F.col(f"`{stratum}`").cast("string")), ["doc_id", "_stratum", *own]), "counts")
+    of = F.col(f"`{stratum}`") if stratum in docs.columns else F.lit(None)
+    docs = docs.select("doc_id", "text", of.cast("string").alias("_stratum"), *[F.struct("*").alias(c) for c in own])
+    counted = stage(with_counts(docs, ["doc_id", "_stratum", *own]), "counts")
     cutoffs = stage(fit_cutoffs(counted, labels, alpha, delta), "cutoffs")
     rows = counted.join(cutoffs, F.col("_stratum").eqNullSafe(F.col("_s")), "left")
     hit = [F.when(statistic(r) > F.coalesce(F.element_at("cutoffs", F.lit(r)), F.lit(STEPS)), F.lit(r)) for r in RULES]

@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 import public_tokenizers as P
 import pytest
+from pyspark.sql import functions as F
 
 from tessel.llm import count_rtree, cover_tree, html_blocks, lattice_lm, quality_cnn, quality_rules
 from tessel.llm.common import components
@@ -83,6 +84,38 @@ def test_rules(spark):
     assert quality_rules.judge(docs.limit(0), labels).count() == 0
 
 
+def test_rules_equal_plain(spark, sf_dir):
+    """kept from end to end by loops over rows: cutoffs proposed on one half of the labels, certified on the other."""
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    rng = np.random.default_rng(4)
+    more = [(10**6 + k, " ".join(f"v{j}{k}" if rng.random() < 0.8 or k % 9 else "#*!" for j in range(40)) + f" {k} " + " ".join(f"w{j}{k}" for j in range(60)), "xx") for k in range(900)]
+    docs = docs.select("doc_id", "text", "lang").union(spark.createDataFrame(more, "doc_id long, text string, lang string"))
+    labels = labels.select("doc_id", "quality").union(spark.createDataFrame([(10**6 + k, int(k % 9 > 0)) for k in range(900)], "doc_id long, quality int"))
+    half = {r[0]: r[1] for r in docs.select("doc_id", (F.xxhash64("doc_id") % 2 == 0)).collect()}
+    quality = {r[0]: r[1] for r in labels.collect() if r[1] in (0, 1)}
+    rows, alpha, delta = {}, 0.02, 0.05
+    for i, text, lang in docs.collect():
+        n = dict(zip(quality_rules.NAMES, quality_rules.text_counts(text or ""), strict=True))
+        stats = {r: min(1000, 1000 * n[a] // max(1, n[b])) for r, (a, b) in quality_rules.RULES.items()}
+        rows[i] = (lang, n["n_words"] < 10 or 100 * n["n_repeat_words"] > 20 * n["n_words"], stats)
+    cutoffs, strata = {}, sorted({z for i, (z, bad, _) in rows.items() if not bad and i in quality and half[i]}, key=str)
+    for z in strata:
+        own = [(i, stats) for i, (lang, bad, stats) in rows.items() if lang == z and not bad and i in quality]
+        cut = {r: quality_rules.best_cutoff([(v, q, n) for (v, q), n in Counter((s[r], quality[i]) for i, s in own if half[i]).items()]) for r in quality_rules.RULES}
+        good = [s for i, s in own if not half[i] and quality[i] == 1]
+        best = None
+        for f in reversed(quality_rules.LOOSER):
+            lost = sum(any(s[r] > min(1000, math.floor(cut[r] * f)) for r in cut) for s in good)
+            if not good or sum(math.comb(len(good), k) * alpha**k * (1 - alpha) ** (len(good) - k) for k in range(lost + 1)) > delta / len(strata):
+                break
+            best = f
+        if best:
+            cutoffs[z] = {r: min(1000, math.floor(c * best)) for r, c in cut.items()}
+    want = {i: not bad and not any(s[r] > c for r, c in cutoffs.get(z, {}).items()) for i, (z, bad, s) in rows.items()}
+    got = {r["doc_id"]: r["kept"] for r in quality_rules.judge(docs, labels).collect()}
+    assert got == want and "xx" in cutoffs and not all(want[i] for i, (z, bad, _) in rows.items() if z == "xx" and not bad)
+
+
 # ---- classifier
 
 
@@ -99,6 +132,44 @@ def test_cnn(spark, sf_dir):
     assert {r["score"] for r in quality_cnn.score(docs.limit(3), labels.limit(0)).collect()} == {0.5}
 
 
+def test_cnn_with_repeated_ids(spark, sf_dir):
+    """The fit doesn't depend on the order of rows, and columns may be called anything."""
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    again = docs.selectExpr("doc_id", "concat('!', text, ' other') as text").limit(50)
+    rows = docs.select("doc_id", "text").union(again).selectExpr("*", "1 as score", "'x' as quality", "2 as h", "3 as _row")
+    read = lambda df: Counter((r["doc_id"], r["score"]) for r in quality_cnn.score(df, labels.union(labels)).collect())
+    first = read(rows)
+    assert sum(first.values()) == rows.count() and first == read(rows.orderBy(F.rand(3)))
+
+
+def test_cnn_gradient(monkeypatch):
+    """One step without momentum or decay moves each weight by the sign of the numeric slope of the loss."""
+    rng = np.random.default_rng(3)
+    texts = [bytes(rng.integers(97, 110, n).astype(np.uint8)) for n in (5, 40, 4200, 9000)]
+    y = np.array([1, 0, 1, 0])
+
+    def loss(w):
+        pairs = quality_cnn.pair_tables(w)
+        p = np.array([quality_cnn.probability(quality_cnn.chunk_maxima(t, pairs)[0], w)[0] for t in texts])
+        return -np.mean(np.log(np.where(y == 1, p, 1 - p)))
+
+    monkeypatch.setattr(quality_cnn, "EPOCHS", 1)
+    start = quality_cnn.weights(7)
+    moved = quality_cnn.fit(texts, y.tolist(), 7)
+    base, checked = loss(start), 0
+    for name in ("table", "out", "bias"):
+        flat = start[name].ravel()
+        for k in np.argsort(-np.abs(moved[name].ravel() - flat))[:40]:
+            up, down = ({**start, name: start[name].copy()} for _ in range(2))
+            up[name].ravel()[k] += 2e-2
+            down[name].ravel()[k] -= 2e-2
+            slope = (loss(up) - loss(down)) / 4e-2
+            if abs(slope) > 1e-3:
+                checked += 1
+                assert np.sign(moved[name].ravel()[k] - flat[k]) == -np.sign(slope), (name, k)
+    assert checked > 30 and loss(moved) < base
+
+
 def test_cnn_covers_whole_text():
     w = quality_cnn.weights()
     pairs = quality_cnn.pair_tables(w)
@@ -679,3 +750,17 @@ def test_pipeline_with_repeated_ids(spark, sf_dir):
     got = corpus_pipeline.jaccard_stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), sf_dir).collect()
     want = [(7, text("a")), (7, text("b")), (3, text("c")), (None, text("a")), (None, text("a"))]
     assert Counter(map(tuple, got)) == Counter(want)
+
+
+def test_pipeline_edges(spark, sf_dir):
+    """Empty tables, columns with the stages' own names, and no lang column."""
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(60)
+    clash = docs.drop("lang").selectExpr("*", "1 as _row", "2 as _no", "3 as _stratum", "4 as n_words", "5 as kept", "6 as score", "7 as component_id", "8 as n", "9 as uid")
+    for _, step in corpus_pipeline.STAGES[:-1]:
+        out = step(spark, clash, sf_dir)
+        assert out.columns == clash.columns and out.count() <= 60
+        assert step(spark, docs.limit(0), sf_dir).count() == 0
+    assert corpus_pipeline.STAGES[-1][1](spark, docs.limit(0), sf_dir).count() == 0
+    assert corpus_pipeline.STAGES[-1][1](spark, clash, sf_dir).count() >= 60
