@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessel.llm.chunks import MARGIN, explode_chunks, split_long, stitches
-from tessel.llm.common import small_batches, table
+from tessel.llm.common import small_batches, stage, table
 from tessel.llm.encoders import CACHE_ENTRIES
 
 EDGES = "uid long, i int, last boolean, head_at array<long>, head_n array<long>, tail_at array<long>, tail_n array<long>"
@@ -36,6 +36,7 @@ class RankCodec:
         self.scan = regex.compile(pattern)
         self.one = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})._encode_single_piece
         self.raw = {str(rank): token for token, rank in ranks.items()}
+        self.names = [str(k) for k in range(max(ranks.values(), default=0) + 1)]
         self.cache: dict[str, str] = {}
 
     def spans(self, text: str, start: int = 0) -> Iterator[tuple[int, int]]:
@@ -121,25 +122,26 @@ def encode_decode(docs: DataFrame, ranks: str, pattern: str, chunk: int = 16_384
                 start = (x["start"] or x["base"]) - x["base"]
                 stop = len(x["text"]) if x["stop"] is None else x["stop"] - x["base"]
                 ids = codec.ids(codec.pieces(x["text"], start, stop))
-                out.append({"uid": x["uid"], "i": x["i"], "ids": ids, "raw": codec.decode(ids)})
+                out.append({"uid": x["uid"], "i": x["i"], "ids": np.array(ids.split(), "<u4").tobytes()})
             yield pa.RecordBatch.from_pylist(out, schema=PIECE_ARROW)
 
     def join_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = rank_codec(ranks, pattern)
         for batch in batches:
             rows = []
             for parts in batch.column("parts").to_pylist():
-                ids = " ".join(p["ids"] for p in parts if p["ids"])
-                rows.append(_row(ids, b"".join(p["raw"] for p in parts)))
+                ids = [" ".join(map(codec.names.__getitem__, np.frombuffer(p["ids"], "<u4").tolist())) for p in parts]
+                rows.append(_row(" ".join(x for x in ids if x), b"".join(map(codec.decode, ids))))
             yield _codes(batch.column("doc_id"), rows)
 
     cut = explode_chunks(long, chunk, overlap)
-    joints = stitches(cut.mapInArrow(boundaries, EDGES))
+    joints = stage(stitches(cut.mapInArrow(boundaries, EDGES)), "joints")
     failed = joints.where("at is null").select("uid").distinct()
     ends = joints.select("uid", "i", F.col("at").alias("stop"))
     starts = joints.select("uid", (F.col("i") + 1).alias("i"), F.col("at").alias("start"))
     ready = cut.join(failed, "uid", "left_anti").join(starts, ["uid", "i"], "left").join(ends, ["uid", "i"], "left")
-    pieces = ready.mapInArrow(encode, "uid long, i int, ids string, raw binary")
-    parts = pieces.groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("i", "ids", "raw"))).alias("parts"))
+    pieces = ready.mapInArrow(encode, "uid long, i int, ids binary")
+    parts = pieces.groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("i", "ids"))).alias("parts"))
     joined = parts.join(long.select("uid", "doc_id"), "uid").select("doc_id", "parts").mapInArrow(join_up, CODES)
     rest = long.join(failed, "uid", "left_semi").select("doc_id", "text").mapInArrow(whole, CODES)
     return short.mapInArrow(whole, CODES).unionByName(joined).unionByName(rest)
@@ -148,7 +150,7 @@ def encode_decode(docs: DataFrame, ranks: str, pattern: str, chunk: int = 16_384
 _LONGS = pa.list_(pa.int64())
 EDGE_ARROW = pa.schema([("uid", pa.int64()), ("i", pa.int32()), ("last", pa.bool_()), ("head_at", _LONGS), ("head_n", _LONGS), ("tail_at", _LONGS), ("tail_n", _LONGS)])
 EDGE_NAMES = EDGE_ARROW.names
-PIECE_ARROW = pa.schema([("uid", pa.int64()), ("i", pa.int32()), ("ids", pa.string()), ("raw", pa.binary())])
+PIECE_ARROW = pa.schema([("uid", pa.int64()), ("i", pa.int32()), ("ids", pa.binary())])
 
 
 def op7_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:

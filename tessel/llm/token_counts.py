@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tessel.llm.bpe_codec import EDGE_ARROW, EDGE_NAMES, EDGES
 from tessel.llm.chunks import MARGIN, explode_chunks, split_long, stitches
-from tessel.llm.common import small_batches, table
+from tessel.llm.common import small_batches, stage, table
 from tessel.llm.encoders import piece_encoder
 
 
@@ -120,7 +120,8 @@ def token_counts(docs: DataFrame, vocabulary: str, limit: int = 512, chunk: int
     short, long = split_long(docs, chunk)
     sized = lambda rows: rows.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "text")
     ends = explode_chunks(long, chunk, overlap).mapInArrow(edges, EDGES)
-    joints = stitches(ends)
+    ends = stage(ends, "edges")
+    joints = stage(stitches(ends), "joints")
     failed = joints.where("at is null").select("uid").distinct()
     parts = joints.where("at is not null").select("uid", (F.col("before") - F.col("after")).alias("n"))
     parts = parts.union(ends.where("last").select("uid", F.element_at("tail_n", 1).alias("n")))
