@@ -10,7 +10,7 @@ import time
 from pyspark.sql import DataFrame, SparkSession
 
 from tessel.functions.unsigned import format_schema, parse_schema, row_bytes
-from tessel.metrics import plan_metrics, total
+from tessel.metrics import each, plan_metrics, total
 from tessel.operators.joins import join
 from tessel.operators.partition import RadixConfig
 from tessel.operators.verify import differences
@@ -55,7 +55,11 @@ def parse(args: list[str]) -> argparse.Namespace:
 
 
 def measure(o: argparse.Namespace, scheme: str, rep: int, build: DataFrame, probe: DataFrame) -> tuple[dict, DataFrame]:
-    """One end-to-end run into a sink that drops rows; phases come from the plan's metrics where Spark has them."""
+    """One end-to-end run into a sink that drops rows; phases come from the plan's metrics where Spark has them.
+
+    Times of phases are sums over tasks: building hash tables, and writing either side's shuffle. Memory is that of all
+    hash tables, or of the broadcast one.
+    """
     strategy, name = SCHEMES[scheme]
     options = {} if strategy == "broadcast" else {"config": o.config}
     if strategy == "best_effort":
@@ -68,11 +72,17 @@ def measure(o: argparse.Namespace, scheme: str, rep: int, build: DataFrame, prob
     found = plan_metrics(joined)
     n, shuffled = max(1, o.build_rows), strategy != "broadcast"
     built = total(found, "ShuffledHashJoin", "buildTime") if shuffled else total(found, "BroadcastExchange", "buildTime")
+    held = total(found, "ShuffledHashJoin", "buildDataSize") if shuffled else total(found, "BroadcastExchange", "dataSize")
+    written = each(found, "Exchange", "shuffleWriteTime") if shuffled else []
+    probe_ns, build_ns = written if len(written) == 2 else (None, None)
     row = {
         "scheme": name, "rep": rep, "threads": o.threads, "build_rows": o.build_rows, "probe_rows": o.probe_rows,
         "build_payload_schema": format_schema(o.build_payload_schema), "probe_payload_schema": format_schema(o.probe_payload_schema),
         "partitions": o.config.partitions if shuffled else None, "distribution": "uniform", "match_rate": 1.0,
         "build_wall_ms": None if built is None else float(built), "build_ns_per_row": None if built is None else built * 1e6 / n, "e2e_wall_ms": wall,
+        "build_shuffle_wall_ms": None if build_ns is None else build_ns / 1e6, "build_shuffle_ns_per_row": None if build_ns is None else build_ns / n,
+        "probe_shuffle_wall_ms": None if probe_ns is None else probe_ns / 1e6, "probe_shuffle_ns_per_row": None if probe_ns is None else probe_ns / max(1, o.probe_rows),
+        "peak_mem_mib": None if held is None else held / (1 << 20),
         "bep_budget_mib": o.bep_budget_mib if strategy == "best_effort" else None,
     }
     return row, joined

@@ -29,3 +29,8 @@ def plan_metrics(df: DataFrame) -> list[tuple[str, dict[str, int]]]:
 def total(metrics: list[tuple[str, dict[str, int]]], node: str, name: str) -> int | None:
     values = [found[name] for kind, found in metrics if kind.startswith(node) and name in found]
     return sum(values) if values else None
+
+
+def each(metrics: list[tuple[str, dict[str, int]]], node: str, name: str) -> list[int]:
+    """The metric of each such node, in the plan's order: of a join, the probe side's nodes come before the build side's."""
+    return [found[name] for kind, found in metrics if kind.startswith(node) and name in found]

@@ -39,9 +39,11 @@ def broadcast_join(build: DataFrame, probe: DataFrame, key: str = "key", limit:
 def radix_join(build: DataFrame, probe: DataFrame, key: str = "key", config: RadixConfig | None = None) -> DataFrame:
     """Both sides placed by the highest bits of the key hash, then a hash join inside each partition.
 
-    As partition id and key are the join keys, the placement serves the join and no further exchange is planned.
+    As partition id and key are the join keys, the placement serves the join and no further exchange is planned. Without
+    a configuration, the number of partitions follows Catalyst's estimate of the build side. A key with very many build
+    rows makes one large hash table: best_effort_join deals such leaves over tasks, sort_merge_join spills.
     """
-    config = config or RadixConfig()
+    config = config or RadixConfig.for_bytes(estimated_bytes(build))
     left = _keyed(build, key, config).repartitionById(config.partitions, "pid")
     right = _keyed(probe, key, config).repartitionById(config.partitions, "pid")
     return _output(right.join(left.hint("shuffle_hash"), [key, "pid"]), build, probe, key)
@@ -58,22 +60,53 @@ def flush_plan(probe: DataFrame, key: str, config: RadixConfig, probe_row_bytes:
     return counts.select("pid", F.greatest(F.lit(1), F.ceil(F.col("n") * probe_row_bytes / budget_bytes)).cast("int").alias("flushes"))
 
 
+def leaf_plan(build: DataFrame, probe: DataFrame, key: str, config: RadixConfig, row_bytes: tuple[int, int], budgets: tuple[int, int]) -> tuple[DataFrame, int]:
+    """Rows (pid, parts, flushes, first): each leaf's pieces of build and of probe rows and its first slot; and the number of slots.
+
+    The counts of leaves, at most one row for each, come to the driver.
+    """
+    if min(budgets) < 1:
+        raise ValueError("the budget must be positive")
+    if config.bits > 16:
+        raise ValueError("leaves are planned one by one: 16 bits at most")
+    count = lambda df, left, right: _keyed(df, key, config).select("pid", F.lit(left).alias("l"), F.lit(right).alias("r"))
+    both = count(build, 1, 0).union(count(probe, 0, 1)).groupBy("pid").agg(F.sum("l").alias("l"), F.sum("r").alias("r"))
+    rows, slots = [], 0
+    for pid, *counts in both.where("l > 0 and r > 0").orderBy("pid").collect():
+        parts, flushes = (max(1, -(-n * size // budget)) for n, size, budget in zip(counts, row_bytes, budgets, strict=True))
+        rows.append((pid, parts, flushes, slots))
+        slots += parts * flushes
+    return probe.sparkSession.createDataFrame(rows, "pid int, parts int, flushes int, first int"), max(1, slots)
+
+
 def best_effort_join(
-    build: DataFrame, probe: DataFrame, key: str = "key", config: RadixConfig | None = None, probe_row_bytes: int = 64, budget_bytes: int = 512 << 20
+    build: DataFrame,
+    probe: DataFrame,
+    key: str = "key",
+    config: RadixConfig | None = None,
+    probe_row_bytes: int = 64,
+    budget_bytes: int = 512 << 20,
+    build_row_bytes: int = 64,
+    build_budget_bytes: int = 512 << 20,
 ) -> DataFrame:
     """The build side fully partitioned, the probe side in bounded pieces.
 
-    A leaf whose probe rows exceed the budget is probed in several flushes: its rows are dealt over them by row hash,
-    and the leaf's build rows go to each. So neither a hot key nor a full leaf makes a task's probe piece grow.
+    A leaf whose probe rows exceed the budget is probed in several flushes, and one whose build rows exceed theirs has
+    several hash tables: rows of either side are dealt over their pieces and copied to each piece of the other side. So
+    neither a hot key nor a full leaf makes a task grow. Every pair of pieces has a slot of its own, and rows are placed by
+    slot. Rows are counted before, and dealt by their hash and their place in the input: a repeated task must read the same
+    rows in the same order, as it does from tables and files; write other inputs first.
     """
-    config = config or RadixConfig()
-    plan = F.broadcast(flush_plan(probe, key, config, probe_row_bytes, budget_bytes))
-    dealt = _keyed(probe, key, config).join(plan, "pid")
-    dealt = dealt.withColumn("flush", F.pmod(F.xxhash64(*probe.columns, F.monotonically_increasing_id()), F.col("flushes")).cast("int"))
-    spread = _keyed(build, key, config).join(plan, "pid")
-    spread = spread.withColumn("flush", F.explode(F.sequence(F.lit(0), F.col("flushes") - 1)))
-    keys = [key, "pid", "flush"]
-    return _output(dealt.join(spread.hint("shuffle_hash"), keys), build, probe, key)
+    config = config or RadixConfig.for_bytes(estimated_bytes(build))
+    leaves, slots = leaf_plan(build, probe, key, config, (build_row_bytes, probe_row_bytes), (build_budget_bytes, budget_bytes))
+    plan = F.broadcast(leaves)
+    deal = lambda df, pieces: F.pmod(F.xxhash64(*df.columns, F.monotonically_increasing_id()), F.col(pieces)).cast("int")
+    copies = lambda pieces: F.explode(F.sequence(F.lit(0), F.col(pieces) - 1))
+    slot = (F.col("first") + F.col("flush") * F.col("parts") + F.col("part")).alias("slot")
+    dealt = _keyed(probe, key, config).join(plan, "pid").withColumn("flush", deal(probe, "flushes")).withColumn("part", copies("parts"))
+    spread = _keyed(build, key, config).join(plan, "pid").withColumn("part", deal(build, "parts")).withColumn("flush", copies("flushes"))
+    left, right = (df.select(*own.columns, slot).repartitionById(slots, "slot") for df, own in ((dealt, probe), (spread, build)))
+    return _output(left.join(right.hint("shuffle_hash"), [key, "slot"]), build, probe, key)
 
 
 def sort_merge_join(build: DataFrame, probe: DataFrame, key: str = "key") -> DataFrame:

@@ -28,6 +28,13 @@ class RadixConfig:
     def partitions(self) -> int:
         return 1 << self.bits
 
+    @classmethod
+    def for_bytes(cls, size: int, target: int = 128 << 20) -> RadixConfig:
+        """As many bits as make partitions of about target bytes, 5 to 16; 8 where the size isn't known."""
+        if size >= 1 << 62:
+            return cls()
+        return cls((min(16, max(5, (-(-size // target) - 1).bit_length())),))
+
     @classmethod
     def split(cls, partitions: int, passes: int = 1) -> RadixConfig:
         """Even bits for each pass, the remainder to the first ones."""

@@ -57,12 +57,12 @@ def join_broadcast(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("join_radix", JOIN_SQL)
 def join_radix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return join(orders(spark, sf_dir), lineitem(spark, sf_dir), "radix", config=RadixConfig((5,)))
+    return join(orders(spark, sf_dir), lineitem(spark, sf_dir), "radix")
 
 
 @register("join_best_effort", JOIN_SQL)
 def join_best_effort(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return join(orders(spark, sf_dir), lineitem(spark, sf_dir), "best_effort", config=RadixConfig((5,)), probe_row_bytes=PROBE_ROW_BYTES, budget_bytes=32 << 20)
+    return join(orders(spark, sf_dir), lineitem(spark, sf_dir), "best_effort", probe_row_bytes=PROBE_ROW_BYTES, budget_bytes=32 << 20)
 
 
 @register("join_sort_merge", JOIN_SQL)
@@ -100,18 +100,18 @@ def radix_largest_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
 def join_multi_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     build = table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), "event_id", "event_type")
     probe = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("key"), "o_orderkey")
-    return join(build, probe, "best_effort", config=RadixConfig((5,)), probe_row_bytes=16, budget_bytes=32 << 20)
+    return join(build, probe, "best_effort", probe_row_bytes=16, budget_bytes=32 << 20)
 
 
 @register("join_key_only", "SELECT o_orderkey AS key FROM orders JOIN lineitem ON o_orderkey = l_orderkey")
 def join_key_only(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return join(orders(spark, sf_dir).select("key"), lineitem(spark, sf_dir).select("key"), "radix", config=RadixConfig((5,)))
+    return join(orders(spark, sf_dir).select("key"), lineitem(spark, sf_dir).select("key"), "radix")
 
 
 @register("join_projection", "SELECT o_orderkey AS key, o_orderstatus, o_custkey, l_quantity FROM orders JOIN lineitem ON o_orderkey = l_orderkey")
 def join_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     build = orders(spark, sf_dir).select("key", "o_orderstatus", "o_custkey")
-    return join(build, lineitem(spark, sf_dir).select("key", "l_quantity"), "radix", config=RadixConfig((5,)))
+    return join(build, lineitem(spark, sf_dir).select("key", "l_quantity"), "radix")
 
 
 ORDER_ROWS, EVENT_ROWS = "(SELECT o_orderkey AS i FROM orders)", "(SELECT event_id AS i FROM events)"
@@ -139,7 +139,7 @@ def synthetic_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("synthetic_join", f"SELECT b.*, p.* EXCLUDE (key) FROM ({build_sql(ORDER_ROWS, BUILD_KINDS)}) b JOIN ({probe_sql(EVENT_ROWS, COUNT_ORDERS, PROBE_KINDS)}) p ON b.key = p.key")
 def synthetic_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flat(join(derived_build(spark, sf_dir), derived_probe(spark, sf_dir), "radix", config=RadixConfig((5,))))
+    return flat(join(derived_build(spark, sf_dir), derived_probe(spark, sf_dir), "radix"))
 
 
 @register("join_row_count", f"SELECT count(*) AS n FROM ({JOIN_SQL})")
@@ -159,7 +159,7 @@ def rep_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("partition_join_histogram", f"SELECT (h >> 56)::INTEGER AS pid, count(*) AS n FROM {lineitem_hash_sql()} JOIN orders ON l_orderkey = o_orderkey GROUP BY 1")
 def partition_join_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    joined = join(orders(spark, sf_dir).select("key"), lineitem(spark, sf_dir).select("key"), "radix", config=RadixConfig((5,)))
+    joined = join(orders(spark, sf_dir).select("key"), lineitem(spark, sf_dir).select("key"), "radix")
     return histogram(joined, RadixConfig((8,)))
 
 
@@ -182,4 +182,4 @@ def largest_join_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("empty_build_join", f"{JOIN_SQL} WHERE o_orderkey < 0")
 def empty_build_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return join(orders(spark, sf_dir).where("key < 0"), lineitem(spark, sf_dir), "radix", config=RadixConfig((5,)))
+    return join(orders(spark, sf_dir).where("key < 0"), lineitem(spark, sf_dir), "radix")

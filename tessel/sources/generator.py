@@ -46,8 +46,16 @@ def _with_key(df: DataFrame, number: str, seed: int) -> DataFrame:
 
 
 def _numbers(rows: DataFrame) -> DataFrame:
-    """Row numbers, which are never null: a join on what is computed from them then tests no key for null."""
-    return rows.select(F.coalesce(F.col("i").cast("long"), F.lit(0).cast("long")).alias("i"))
+    """Row numbers, null ones left out.
+
+    The plan knows that what is computed from them isn't null either; otherwise a join would test its key for null below
+    all projections, with the whole hash written out for each use.
+    """
+    return rows.where("i is not null").select(never_null(F.col("i").cast("long")).alias("i"))
+
+
+def never_null(value: Column) -> Column:
+    return F.coalesce(value, F.lit(0).cast("long"))
 
 
 def build_table(rows: DataFrame, kinds: list[str], seed: int = 42) -> DataFrame:
@@ -65,12 +73,12 @@ def probe_table(rows: DataFrame, build_rows: int, kinds: list[str], seed: int =
     if build_rows == 0:
         zero = {"u128": F.struct(F.lit(0).cast("long").alias("low"), F.lit(0).cast("long").alias("high"))}
         cells = [zero.get(k, F.lit(0).cast(SPARK_TYPE[k])).alias(n) for k, n in zip(kinds, names, strict=True)]
-        return rows.select(F.lit(0).cast("long").alias("key"), *cells)
+        return rows.where("i is not null").select(F.lit(0).cast("long").alias("key"), *cells)
     df = _numbers(rows)
     with wrapping(df.sparkSession):
         df = df.withColumn("_pick", F.lit(signed(seed ^ PROBE_PICK_SALT)) + F.col("i"))
     df = with_hash(df, "_pick", "_pick")
-    df = _with_key(df.withColumn("_row", unsigned_mod(F.col("_pick"), build_rows)), "_row", seed)
+    df = _with_key(df.withColumn("_row", never_null(unsigned_mod(F.col("_pick"), build_rows))), "_row", seed)
     return _with_payloads(df, kinds, "p", seed, PROBE_PAYLOAD_SALT).select("key", *names)
 
 
