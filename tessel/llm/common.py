@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Python workers get record batches of at most this many rows and, but for a single longer row, bytes.
-BATCH_ROWS, BATCH_BYTES = 3000, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 1500, 16 << 20
 
 _local_scratch: dict[str, str] = {}
 

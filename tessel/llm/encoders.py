@@ -168,7 +168,7 @@ class PieceEncoder:
         offsets = lists.offsets.to_numpy()
         words = lists.values.slice(int(offsets[0]), int(offsets[-1] - offsets[0])).dictionary_encode()
         offsets = offsets - offsets[0]
-        which = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        which = words.indices.to_numpy(zero_copy_only=False).copy()
         names = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words.dictionary)], pa.int32()), words.dictionary), " ")[0].as_py().split(" ") if len(words.dictionary) else []
         values = self.rest(names)
         if self.mode == "keep":
@@ -181,14 +181,17 @@ class PieceEncoder:
             self._wide[np.searchsorted(offsets, np.flatnonzero(odd), "right") - 1] = True
             # a text's first piece has no blank before it
             heads = self.first([names[k] for k in which[offsets[:-1]]])
-            which[offsets[:-1]] = len(names) + np.arange(len(heads))
+            which[offsets[:-1]] = np.arange(len(names), len(names) + len(heads))
             values = values + heads
-        sizes = np.fromiter(map(len, values), np.int64, len(values)) // 4
+        # a batch has fewer ids than a text may have bytes, which fit 32 bits
+        sizes = np.fromiter(map(len, values), np.int32, len(values)) // 4
         ids = np.frombuffer(b"".join(values), "<u4")
-        starts = np.cumsum(sizes) - sizes
+        starts = np.cumsum(sizes, dtype=np.int32) - sizes
         each = sizes[which]
-        ends = np.cumsum(each)
-        flat = ids[np.repeat(starts[which] - (ends - each), each) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        ends = np.cumsum(each, dtype=np.int32)
+        at = np.repeat(starts[which] - (ends - each), each)
+        at += np.arange(len(at), dtype=np.int32)
+        flat = ids[at]
         bounds = np.concatenate(([0], ends))[offsets]
         return [flat[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
 
