@@ -197,14 +197,15 @@ def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: floa
     labelled good documents have no cutoffs and reject nothing. Null text has no words and fails the base rules; a null
     stratum is a stratum, and so is the whole table if it has no such column; labels that are null, or for other documents, are not used; repeated rows are judged one by
     one; other columns may have any name and are ignored; an empty table gives no rows. With whole, _row has all columns of
-    the row that is judged.
+    the row that is judged; rows are then counted once more for the verdicts rather than written with their counts.
     """
     own = ["_row"] if whole else []
     of = F.col(f"`{stratum}`") if stratum in docs.columns else F.lit(None)
     docs = docs.select("doc_id", "text", of.cast("string").alias("_stratum"), *[F.struct("*").alias(c) for c in own])
-    counted = stage(with_counts(docs, ["doc_id", "_stratum", *own]), "counts")
+    counted = stage(with_counts(docs, ["doc_id", "_stratum"]), "counts")
     cutoffs = stage(fit_cutoffs(counted, labels, alpha, delta), "cutoffs")
-    rows = counted.join(cutoffs, F.col("_stratum").eqNullSafe(F.col("_s")), "left")
+    judged = with_counts(docs, ["doc_id", "_stratum", *own]) if whole else counted
+    rows = judged.join(cutoffs, F.col("_stratum").eqNullSafe(F.col("_s")), "left")
     hit = [F.when(statistic(r) > F.coalesce(F.element_at("cutoffs", F.lit(r)), F.lit(STEPS)), F.lit(r)) for r in RULES]
     rows = rows.withColumn("rejected_by", F.array_compact(F.array(*hit))).withColumn("base_failed", base_failed())
     return rows.select("doc_id", *NAMES, "base_failed", "rejected_by", (~F.col("base_failed") & (F.size("rejected_by") == 0)).alias("kept"), *own)
