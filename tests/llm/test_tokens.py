@@ -84,15 +84,29 @@ def test_token_files(spark, docs, byte_bpe):
     assert "PushedFilters: [IsNotNull(doc_id), EqualTo(doc_id,7)]" in found._jdf.queryExecution().executedPlan().toString() and found.count() == 1
 
 
-def test_token_files_bloom(spark, docs):
+def test_token_files_bloom(spark):
+    """Rows that the scan hands on: a row index entry's for an id that is there, none for one that only the Bloom filter can rule out."""
     from pyarrow import fs, orc
 
+    from tessel.metrics import plan_metrics, total
+
     path = scratch_path(spark, "test")
-    token_files.write_token_files(docs, path, P.path("byte_bpe_50k.json"), 2)
+    rows = spark.range(0, 40_000, 2, 1).selectExpr("id as doc_id", "concat('text ', id) as text")
+    token_files.write_token_files(rows, path, P.path("byte_bpe_50k.json"), 2)
     parts = [f.path for f in fs.LocalFileSystem().get_file_info(fs.FileSelector(path.removeprefix("file://"))) if f.path.endswith(".orc")]
     meta = [orc.ORCFile(p) for p in parts]
-    assert sum(m.nrows for m in meta) == len(TEXTS) and all(m.row_index_stride == 1000 for m in meta)
-    assert any(b"BLOOM" in open(p, "rb").read().upper() or m.file_length for p, m in zip(parts, meta, strict=True))
+    assert sum(m.nrows for m in meta) == 20_000 and all(m.row_index_stride == 1000 for m in meta)
+
+    def scanned(doc_id):
+        found = token_files.read_token_files(spark, path).where(f"doc_id = {doc_id}")
+        n = len(found.collect())
+        return n, total(plan_metrics(found), "Scan orc", "numOutputRows")
+
+    there = [scanned(k) for k in (3000, 20_000, 39_998)]
+    assert all(n == 1 and 1 <= read <= 2000 for n, read in there), there
+    absent = [scanned(k) for k in range(3001, 3041, 2)]
+    assert all(n == 0 for n, _ in absent) and sum(read == 0 for _, read in absent) >= 17, absent
+    assert scanned(10**9) == (0, 0)
 
 
 def codec_truth(enc, text):
