@@ -72,7 +72,7 @@ def leaf_plan(build: DataFrame, probe: DataFrame, key: str, config: RadixConfig,
     count = lambda df, left, right: _keyed(df, key, config).select("pid", F.lit(left).alias("l"), F.lit(right).alias("r"))
     both = count(build, 1, 0).union(count(probe, 0, 1)).groupBy("pid").agg(F.sum("l").alias("l"), F.sum("r").alias("r"))
     rows, slots = [], 0
-    for pid, *counts in both.where("l > 0 and r > 0").orderBy("pid").collect():
+    for pid, *counts in sorted(both.where("l > 0 and r > 0").collect()):
         parts, flushes = (max(1, -(-n * size // budget)) for n, size, budget in zip(counts, row_bytes, budgets, strict=True))
         rows.append((pid, parts, flushes, slots))
         slots += parts * flushes
