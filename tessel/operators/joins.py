@@ -2,20 +2,42 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, BooleanType, DateType, NumericType, StringType, TimestampNTZType, TimestampType
 
 from tessel.operators.partition import RadixConfig, with_pid
 
 STRATEGIES = ("broadcast", "radix", "best_effort", "sort_merge")
-#: A build side is broadcast only if Catalyst's estimate of it is no larger.
-BROADCAST_BYTES = 256 << 20
+#: A build side is broadcast only if its hash table takes no more than this, and no more than one part of so many of the driver's heap.
+BROADCAST_BYTES, HEAP_PARTS = 256 << 20, 16
+#: Bytes of a row in a hash table besides its columns: slots, which are half empty, addresses, null bits.
+ENTRY_BYTES = 64
 
 
 def estimated_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
+def table_bytes(df: DataFrame, key: str) -> int:
+    """About the bytes of a hash table of df, from one pass over its rows; null keys aren't held.
+
+    Files are compressed, and Catalyst estimates by their size, which may be many times too low. Texts are measured; nested
+    and other values count as eight times their text, which is more than they take.
+    """
+    size = F.lit(ENTRY_BYTES + 8 * len(df.columns)).cast("long")
+    for f in df.schema:
+        if isinstance(f.dataType, StringType | BinaryType):
+            size += F.coalesce(F.octet_length(f.name), F.lit(0))
+        elif not isinstance(f.dataType, NumericType | BooleanType | DateType | TimestampType | TimestampNTZType):
+            size += 8 * F.coalesce(F.octet_length(F.col(f.name).cast("string")), F.lit(0))
+    return df.where(F.col(key).isNotNull()).agg(F.sum(size)).first()[0] or 0
+
+
+def driver_heap(spark: SparkSession) -> int:
+    return spark.sparkContext._jvm.java.lang.Runtime.getRuntime().maxMemory()
+
+
 def _keyed(df: DataFrame, key: str, config: RadixConfig) -> DataFrame:
     """df with its partition ids, without null keys: they match nothing, and ids that can't be null need no check."""
     return with_pid(df.where(F.col(key).isNotNull()), config, key)
@@ -29,11 +51,16 @@ def _output(joined: DataFrame, build: DataFrame, probe: DataFrame, key: str) ->
 def broadcast_join(build: DataFrame, probe: DataFrame, key: str = "key", limit: int = BROADCAST_BYTES) -> DataFrame:
     """One shared table that every task probes in place; the probe side isn't moved.
 
-    A build side beyond limit takes the radix strategy.
+    The driver builds the table and holds it more than once meanwhile. A build side whose table is beyond limit or beyond
+    its part of the driver's heap takes the radix strategy. Its rows are measured before, unless Catalyst's estimate of it
+    is beyond limit already.
     """
-    if estimated_bytes(build) > limit:
-        return radix_join(build, probe, key)
-    return _output(probe.join(F.broadcast(build), key), build, probe, key)
+    size = estimated_bytes(build)
+    if size <= limit:
+        size = table_bytes(build, key)
+        if size <= min(limit, driver_heap(build.sparkSession) // HEAP_PARTS):
+            return _output(probe.join(F.broadcast(build), key), build, probe, key)
+    return radix_join(build, probe, key, RadixConfig.for_bytes(size))
 
 
 def radix_join(build: DataFrame, probe: DataFrame, key: str = "key", config: RadixConfig | None = None) -> DataFrame:

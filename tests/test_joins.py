@@ -129,6 +129,34 @@ def test_plans(spark, sf_dir):
     assert "BroadcastHashJoin" not in plan(broadcast_join(build, probe, limit=10))
 
 
+@pytest.fixture(scope="module")
+def compressed(spark, tmp_path_factory):
+    """Orders that take few bytes in a file and more than a broadcast table may in memory, and some lines."""
+    path = str(tmp_path_factory.mktemp("compressed"))
+    spark.range(0, 150_000, 1, 1).select(F.col("id").alias("o_orderkey"), F.lit(7).cast("long").alias("o_custkey"), F.repeat(F.lit("x"), 2000).alias("o_orderstatus")).write.parquet(f"{path}/orders.parquet")
+    lines = [(k, n, 0.5) for k in (3, 3, 140_000, 10**6) for n in (1, 2)]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_quantity double").write.parquet(f"{path}/lineitem.parquet")
+    return path
+
+
+def test_broadcast_goes_by_bytes_in_memory(spark, compressed, monkeypatch):
+    from tessel.operators import joins
+    from tessel.plans.catalogue import lineitem, orders
+
+    got = QUERIES["join_broadcast"](spark, compressed)
+    text = got._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in text and "BroadcastHashJoin" not in text
+    assert sorted((r["key"], r["l_linenumber"], len(r["o_orderstatus"])) for r in got.collect()) == sorted((k, n, 2000) for k in (3, 3, 140_000) for n in (1, 2))
+    build, probe = orders(spark, compressed), lineitem(spark, compressed)
+    assert joins.estimated_bytes(build) < 64 << 20 < 256 << 20 < joins.table_bytes(build, "key")
+    small = spark.sql("SELECT * FROM VALUES (1L, 'a', NULL), (2L, NULL, array(1, 2)), (NULL, repeat('b', 1000), NULL) t(key, b0, b1)")
+    assert joins.table_bytes(small, "key") == 2 * (joins.ENTRY_BYTES + 24) + 1 + 8 * len("[1, 2]") and joins.table_bytes(small.limit(0), "key") == 0
+    plan = lambda: joins.broadcast_join(small, probe)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan()
+    monkeypatch.setattr(joins, "driver_heap", lambda spark: 1600)
+    assert "BroadcastHashJoin" not in plan()
+
+
 def test_partitioning(spark):
     df = spark.range(10_000).withColumnRenamed("id", "key")
     config = RadixConfig((3, 2, 1))
