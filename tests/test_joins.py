@@ -157,6 +157,12 @@ def test_broadcast_goes_by_bytes_in_memory(spark, compressed, monkeypatch):
     assert "BroadcastHashJoin" not in plan()
 
 
+def test_row_count_beyond_a_broadcast(spark, compressed):
+    got = QUERIES["join_row_count"](spark, compressed)
+    assert "BroadcastHashJoin" not in got._jdf.queryExecution().executedPlan().toString()
+    assert [tuple(r) for r in got.collect()] == [(6,)]
+
+
 def test_partitioning(spark):
     df = spark.range(10_000).withColumnRenamed("id", "key")
     config = RadixConfig((3, 2, 1))
