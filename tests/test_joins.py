@@ -163,6 +163,14 @@ def test_row_count_beyond_a_broadcast(spark, compressed):
     assert [tuple(r) for r in got.collect()] == [(6,)]
 
 
+def test_multiset_check_beyond_a_broadcast(spark, compressed):
+    """Two different plans are compared there, too: radix against sort-merge."""
+    got = QUERIES["multiset_check"](spark, compressed)
+    text = got._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in text and "ShuffledHashJoin" in text and "SortMergeJoin" in text
+    assert [tuple(r) for r in got.collect()] == [(6, 6, 0, 0)]
+
+
 def test_partitioning(spark):
     df = spark.range(10_000).withColumnRenamed("id", "key")
     config = RadixConfig((3, 2, 1))
