@@ -13,6 +13,8 @@ STRATEGIES = ("broadcast", "radix", "best_effort", "sort_merge")
 BROADCAST_BYTES, HEAP_PARTS = 256 << 20, 16
 #: Bytes of a row in a hash table besides its columns: slots, which are half empty, addresses, null bits.
 ENTRY_BYTES = 64
+#: Beyond a broadcast a partition's hash table gets one part of so many of a task's memory, as it grows by copying and can't spill; within these bytes.
+TASK_PARTS, LEAST_BYTES, MOST_BYTES = 4, 8 << 20, 128 << 20
 
 
 def estimated_bytes(df: DataFrame) -> int:
@@ -38,6 +40,14 @@ def driver_heap(spark: SparkSession) -> int:
     return spark.sparkContext._jvm.java.lang.Runtime.getRuntime().maxMemory()
 
 
+def task_bytes(spark: SparkSession) -> int:
+    """About the memory that Spark gives to each task while all cores of its JVM are busy, or less where an executor's cores aren't known."""
+    sc = spark.sparkContext
+    heap = driver_heap(spark) if sc._jsc.sc().isLocal() else sc._jsc.sc().executorMemory() << 20
+    cores = sc.defaultParallelism if sc._jsc.sc().isLocal() else int(sc.getConf().get("spark.executor.cores") or sc.defaultParallelism)
+    return int((heap - (300 << 20)) * float(sc.getConf().get("spark.memory.fraction", "0.6"))) // max(1, cores)
+
+
 def _keyed(df: DataFrame, key: str, config: RadixConfig) -> DataFrame:
     """df with its partition ids, without null keys: they match nothing, and ids that can't be null need no check."""
     return with_pid(df.where(F.col(key).isNotNull()), config, key)
@@ -52,15 +62,14 @@ def broadcast_join(build: DataFrame, probe: DataFrame, key: str = "key", limit:
     """One shared table that every task probes in place; the probe side isn't moved.
 
     The driver builds the table and holds it more than once meanwhile. A build side whose table is beyond limit or beyond
-    its part of the driver's heap takes the radix strategy. Its rows are measured before, unless Catalyst's estimate of it
-    is beyond limit already.
+    its part of the driver's heap takes the radix strategy, with as many partitions as keep each hash table within its part
+    of a task's memory, which in local mode is the driver's, too. Its rows are measured before.
     """
-    size = estimated_bytes(build)
-    if size <= limit:
-        size = table_bytes(build, key)
-        if size <= min(limit, driver_heap(build.sparkSession) // HEAP_PARTS):
-            return _output(probe.join(F.broadcast(build), key), build, probe, key)
-    return radix_join(build, probe, key, RadixConfig.for_bytes(size))
+    size = table_bytes(build, key)
+    if size <= min(limit, driver_heap(build.sparkSession) // HEAP_PARTS):
+        return _output(probe.join(F.broadcast(build), key), build, probe, key)
+    target = min(MOST_BYTES, max(LEAST_BYTES, task_bytes(build.sparkSession) // TASK_PARTS))
+    return radix_join(build, probe, key, RadixConfig.for_bytes(size, target))
 
 
 def radix_join(build: DataFrame, probe: DataFrame, key: str = "key", config: RadixConfig | None = None) -> DataFrame:

@@ -163,6 +163,25 @@ def test_row_count_beyond_a_broadcast(spark, compressed):
     assert [tuple(r) for r in got.collect()] == [(6,)]
 
 
+def test_row_count_has_tables_within_a_tasks_memory(spark, compressed, monkeypatch):
+    """In a small heap more partitions are made, so that each task's hash table can be built."""
+    import re
+    from types import SimpleNamespace
+
+    from tessel.operators import joins
+    from tessel.plans.catalogue import orders
+
+    monkeypatch.setattr(joins, "driver_heap", lambda spark: 750 << 20)
+    got = QUERIES["join_row_count"](spark, compressed)
+    partitions = {int(n) for n in re.findall(r"shufflepartitionidpassthrough\(.*?, (\d+)\)", got._jdf.queryExecution().executedPlan().toString())}
+    share = (450 << 20) * 0.6 / 8
+    assert partitions == {64} and joins.table_bytes(orders(spark, compressed), "key") / 64 < share / 4
+    assert [tuple(r) for r in got.collect()] == [(6,)]
+    jvm = SimpleNamespace(sc=lambda: SimpleNamespace(isLocal=lambda: False, executorMemory=lambda: 1800))
+    context = lambda **conf: SimpleNamespace(sparkContext=SimpleNamespace(_jsc=jvm, defaultParallelism=6, getConf=lambda: conf))
+    assert joins.task_bytes(context()) == (900 << 20) // 6 and joins.task_bytes(context(**{"spark.executor.cores": "2"})) == (900 << 20) // 2
+
+
 def test_multiset_check_beyond_a_broadcast(spark, compressed):
     """Two different plans are compared there, too: radix against sort-merge."""
     got = QUERIES["multiset_check"](spark, compressed)
