@@ -149,7 +149,8 @@ def join_row_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("multiset_check", f"SELECT count(*) AS left_rows, count(*) AS right_rows, 0::BIGINT AS only_left, 0::BIGINT AS only_right FROM ({JOIN_SQL})")
 def multiset_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return differences(join_broadcast(spark, sf_dir), sort_merge_join(orders(spark, sf_dir), lineitem(spark, sf_dir)))
+    build, probe = orders(spark, sf_dir), lineitem(spark, sf_dir)
+    return differences(join(build, probe, "broadcast"), sort_merge_join(build, probe))
 
 
 @register("rep_stats", 'SELECT event_type, median(value) AS med, min(value) AS "min", max(value) AS "max" FROM events GROUP BY 1')

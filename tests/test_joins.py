@@ -190,6 +190,22 @@ def test_multiset_check_beyond_a_broadcast(spark, compressed):
     assert [tuple(r) for r in got.collect()] == [(6, 6, 0, 0)]
 
 
+def test_multiset_check_in_a_small_heap(spark, compressed, monkeypatch):
+    """Its tasks get fewer rows there, and the driver reads each table's footer once for both sides."""
+    import re
+
+    from tessel.operators import joins
+    from tessel.plans import catalogue
+
+    read, table = [], catalogue.table
+    monkeypatch.setattr(catalogue, "table", lambda spark, sf_dir, name: read.append(name) or table(spark, sf_dir, name))
+    monkeypatch.setattr(joins, "driver_heap", lambda spark: 750 << 20)
+    got = QUERIES["multiset_check"](spark, compressed)
+    assert set(re.findall(r"shufflepartitionidpassthrough\(.*?, (\d+)\)", got._jdf.queryExecution().executedPlan().toString())) == {"64"}
+    assert sorted(read) == ["lineitem", "orders"]
+    assert [tuple(r) for r in got.collect()] == [(6, 6, 0, 0)]
+
+
 def test_partitioning(spark):
     df = spark.range(10_000).withColumnRenamed("id", "key")
     config = RadixConfig((3, 2, 1))
